@@ -182,11 +182,11 @@ p AS (SELECT doc_id, ws, unnest(range(1, n_words - 1)) AS i FROM b),
 g3 AS (SELECT doc_id, i, [ws[i], ws[i + 1], ws[i + 2]] AS g FROM p),
 r3 AS (SELECT doc_id, i FROM g3 QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 c3 AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM r3, range(3) AS o(o) GROUP BY doc_id),
-q AS (SELECT doc_id, ws, unnest(range(1, n_words - {MIN_REPEAT} + 2)) AS i FROM b WHERE doc_id IN (SELECT doc_id FROM c3)),
+q AS (SELECT doc_id, ws, n_words, unnest(range(1, n_words - {MIN_REPEAT} + 2)) AS i FROM b WHERE doc_id IN (SELECT doc_id FROM c3)),
 gq AS (SELECT doc_id, i, ws[i : i + {MIN_REPEAT} - 1] AS g FROM q),
 rq AS (SELECT doc_id, i FROM gq QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 cq AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM rq, range({MIN_REPEAT}) AS o(o) GROUP BY doc_id),
-gl AS (SELECT doc_id, hash(ws[i : i + {LONG_REPEAT} - 1]) AS g FROM q JOIN b USING (doc_id, ws) WHERE i + {LONG_REPEAT} - 1 <= b.n_words),
+gl AS (SELECT doc_id, hash(ws[i : i + {LONG_REPEAT} - 1]) AS g FROM q WHERE i + {LONG_REPEAT} - 1 <= n_words),
 lr AS (SELECT DISTINCT doc_id FROM (SELECT doc_id FROM gl GROUP BY doc_id, g HAVING count(*) > 1)),
 z AS (
   SELECT b.doc_id, n_words, word_chars, n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
