@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from vectaria.llm import bpe, repetition
+from vectaria.llm import bpe, langid, qda, repetition, secrets
 
 QUERIES = {
     "op2_suffix_repetition": repetition.op2,
+    "op5_quadratic_discriminant": qda.op5,
+    "op8_script_viterbi": langid.op8,
     "op9_bpe_rank_queue": bpe.op9,
+    "op10_trigram_secrets": secrets.op10,
 }
 ORACLE_SQL = {
     "op2_suffix_repetition": repetition.OP2_SQL,
