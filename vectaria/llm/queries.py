@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from vectaria.llm import bpe, langid, qda, repetition, secrets
+from vectaria.llm import bpe, langid, pii, qda, repetition, secrets
 
 QUERIES = {
     "op2_suffix_repetition": repetition.op2,
+    "op4_boosted_pii": pii.op4,
     "op5_quadratic_discriminant": qda.op5,
     "op8_script_viterbi": langid.op8,
     "op9_bpe_rank_queue": bpe.op9,
