@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from vectaria.llm import bpe, langid, pii, qda, repetition, secrets
+from vectaria.llm import bpe, langid, pii, qda, repetition, secrets, urltree
 
 QUERIES = {
     "op2_suffix_repetition": repetition.op2,
     "op4_boosted_pii": pii.op4,
     "op5_quadratic_discriminant": qda.op5,
+    "op6_url_template_tree": urltree.op6,
     "op8_script_viterbi": langid.op8,
     "op9_bpe_rank_queue": bpe.op9,
     "op10_trigram_secrets": secrets.op10,
 }
 ORACLE_SQL = {
     "op2_suffix_repetition": repetition.OP2_SQL,
+    "op6_url_template_tree": urltree.OP6_SQL,
 }
