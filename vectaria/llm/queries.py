@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vectaria.llm import bpe, langid, pii, qda, repetition, secrets, urltree
+from vectaria.llm import bpe, langid, pii, qda, repetition, secrets, setsketch, urltree
 
 QUERIES = {
+    "op1_setsketch_near_dedup": setsketch.op1,
     "op2_suffix_repetition": repetition.op2,
     "op4_boosted_pii": pii.op4,
     "op5_quadratic_discriminant": qda.op5,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_trigram_secrets": secrets.op10,
 }
 ORACLE_SQL = {
+    "op1_setsketch_near_dedup": setsketch.OP1_SQL,
     "op2_suffix_repetition": repetition.OP2_SQL,
     "op6_url_template_tree": urltree.OP6_SQL,
 }
