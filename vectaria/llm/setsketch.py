@@ -47,8 +47,10 @@ REGISTERS = BANDS * ROWS
 BASE, LEVELS = 1.001, 65534
 #: Scale of the least values: registers of sets from one to about 1e12 elements fit.
 RATE = 20.0
-RULED_OUT = 16.0
+RULED_OUT = 12.0
 BLOCK = 512
+#: Pairs of sketches compared in one step (their registers' equality takes that many times REGISTERS bytes).
+COMPARED = 32_768
 
 
 # ---- sets and sketches
@@ -127,28 +129,38 @@ def band_buckets(sketch: str) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col(sketch), k * width + 1, F.lit(width))))
 
 
-def log_likelihood_ratio(ku: np.ndarray, kv: np.ndarray, nu: np.ndarray, nv: np.ndarray, target: float) -> np.ndarray:
-    """How much the best similarity explains the registers better than the target, if that is below the target; else 0.
+def log_likelihood_ratio(more: np.ndarray, less: np.ndarray, same: np.ndarray, nu: np.ndarray, nv: np.ndarray, target: float) -> np.ndarray:
+    """How much better the likeliest similarity explains the registers than the target, if it is below the target; else 0.
 
+    ``more``, ``less`` and ``same`` count the registers that are larger in u, larger in v, equal.
     With sizes nu and nv known, a register is larger in u with the probability p(u - v J), in v
-    with p(v - u J), where p(x) = -log_b(1 - x (b - 1) / b) of the relative sizes.
+    with p(v - u J), where p(x) = -log_b(1 - x (b - 1) / b) of the relative sizes. A pair whose
+    sizes alone exclude the target gets infinity.
     """
-    more, less = (ku > kv).sum(1), (ku < kv).sum(1)
-    same = ku.shape[1] - more - less
     u = nu / np.maximum(nu + nv, 1)
     v = 1 - u
     most = np.minimum(u / np.maximum(v, 1e-12), v / np.maximum(u, 1e-12))
+    p = lambda x: -np.log1p(-np.clip(x, 1e-9, 1) * (BASE - 1) / BASE) / np.log(BASE)
 
     def log_of(j: np.ndarray) -> np.ndarray:
-        p = lambda x: -np.log1p(-np.clip(x, 1e-9, 1) * (BASE - 1) / BASE) / np.log(BASE)
         a, b = np.minimum(p(u - v * j), 1 - 2e-9), np.minimum(p(v - u * j), 1 - 2e-9)
         return more * np.log(np.maximum(a, 1e-9)) + less * np.log(np.maximum(b, 1e-9)) + same * np.log(np.maximum(1 - a - b, 1e-9))
 
-    goal = log_of(np.minimum(target, most))
-    best = goal.copy()
-    for j in np.linspace(0.0, target, 41):
-        best = np.maximum(best, log_of(np.minimum(j, most)))
-    return np.where(most < target, np.inf, best - goal)
+    # the likeliest J by Newton steps on the log-likelihood, in which p(x) is x but for terms of b - 1
+    top = np.minimum(most, target)
+    j = np.clip(same / np.maximum(more + less + same, 1), 1e-6, np.maximum(top - 1e-6, 1e-6))
+    for _ in range(4):
+        a, b = np.maximum(u - v * j, 1e-9), np.maximum(v - u * j, 1e-9)
+        slope = same / j - more * v / a - less * u / b
+        bend = -same / j**2 - more * (v / a) ** 2 - less * (u / b) ** 2
+        j = np.clip(j - slope / np.minimum(bend, -1e-9), 1e-6, np.maximum(top - 1e-6, 1e-6))
+    return np.where(most < target - 1e-12, np.inf, np.maximum(log_of(j) - log_of(np.minimum(target, most)), 0))
+
+
+def compared(ku: np.ndarray, kv: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Registers of paired sketches that are larger in u, larger in v, equal."""
+    more, less = (ku > kv).sum(1), (ku < kv).sum(1)
+    return more, less, ku.shape[1] - more - less
 
 
 FIELDS = "n bigint, fp_a bigint, fp_b bigint, sketch binary, elements binary"
@@ -185,7 +197,7 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
                 continue
             k = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in (2, 3)]
             na, nb = (np.asarray(batch.column(c)).astype(float) for c in (4, 5))
-            keep = log_likelihood_ratio(*k, na, nb, percent / 100) <= RULED_OUT
+            keep = log_likelihood_ratio(*compared(*k), na, nb, percent / 100) <= RULED_OUT
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
     return pairs.select("a", "b", "ka", "kb", "na", "nb").mapInArrow(run, "a bigint, b bigint")
@@ -276,18 +288,18 @@ def _rest_pairs(members: DataFrame, percent: int) -> DataFrame:
             kx, ky = (np.frombuffer(b"".join(t["sketch"]), np.uint16).reshape(len(t), -1) for t in (x, y))
             likely = _least_equal(kx.shape[1], percent)
             ix, iy, cx, cy, nx, ny, main = (t[c].to_numpy() for t, c in ((x, "id"), (y, "id"), (x, "component"), (y, "component"), (x, "n"), (y, "n"), (y, "main")))
-            for k in range(len(x)):
+            for k in range(0, len(x), step := max(1, COMPARED // len(y))):
+                own = slice(k, k + step)
                 # of two members outside the main component, the smaller id takes the pair up
-                go = (cy != cx[k]) & ((cy == main) | (iy > ix[k])) & (100 * np.minimum(ny, nx[k]) >= percent * np.maximum(ny, nx[k]))
-                at = np.flatnonzero(go)
-                at = at[(ky[at] == kx[k]).sum(1) >= likely]
-                if not len(at):
-                    continue
-                rule = log_likelihood_ratio(np.broadcast_to(kx[k], (len(at), kx.shape[1])), ky[at], np.full(len(at), float(nx[k])), ny[at].astype(float), percent / 100)
-                at = at[rule <= RULED_OUT]
-                same = (ky[at] == kx[k]).reshape(len(at), BANDS, ROWS).all(2)
-                at = at[~same[:, :band].any(1)]
-                out_a += [ix[k]] * len(at)
+                go = (cy[None] != cx[own, None]) & ((cy == main)[None] | (iy[None] > ix[own, None]))
+                go &= 100 * np.minimum(ny[None], nx[own, None]) >= percent * np.maximum(ny[None], nx[own, None])
+                equal = kx[own, None, :] == ky[None, :, :]
+                row, at = np.nonzero(go & (equal.sum(2) >= likely))
+                first = ~equal[row, at, : band * ROWS].reshape(len(row), band, ROWS).all(2).any(1)
+                row, at = row[first] + k, at[first]
+                rule = log_likelihood_ratio(*compared(kx[row], ky[at]), nx[row].astype(float), ny[at].astype(float), percent / 100)
+                row, at = row[rule <= RULED_OUT], at[rule <= RULED_OUT]
+                out_a += ix[row].tolist()
                 out_b += iy[at].tolist()
         import pandas as pd
 
