@@ -18,9 +18,10 @@ Steps, all of them joins and aggregations over tables in the shared checkpoint f
    likelihood ratio over ``RULED_OUT``); the rest are confirmed on the full sets.
 4. Components of confirmed links. In buckets that still span several components, members
    outside the bucket's largest component are compared with all others, in blocks of
-   ``BLOCK`` by ``BLOCK`` sketches, and what likelihood leaves is confirmed as before. So no
-   link between bucket members goes lost, and nothing grows with the square of a group of
-   copies that are already linked.
+   ``BLOCK`` by ``BLOCK``: the likelihood of their sketches and then an upper bound of their
+   intersection, from how their elements fall into cells, rule pairs out; the few that are left
+   are confirmed as before. So no link between bucket members goes lost, and nothing grows with
+   the square of a group of copies that are already linked.
 
 A pair at the threshold of 0.8 shares no bucket with probability below 1e-6; links are never
 made without confirmation. Rows with a null id are left out; rows that repeat an id are the
@@ -51,6 +52,9 @@ RULED_OUT = 12.0
 BLOCK = 512
 #: Pairs of sketches compared in one step (their registers' equality takes that many times REGISTERS bytes).
 COMPARED = 32_768
+#: Bytes of cells compared in one step, and registers looked at first.
+CELLS_COMPARED = 4 << 20
+EARLY = 60
 
 
 # ---- sets and sketches
@@ -163,11 +167,37 @@ def compared(ku: np.ndarray, kv: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return more, less, ku.shape[1] - more - less
 
 
-FIELDS = "n bigint, fp_a bigint, fp_b bigint, sketch binary, elements binary"
+def cells_of(h: np.ndarray) -> bytes:
+    """Numbers of a set's elements by cell, two cells a byte, for at least twice as many cells as elements; 15 stands for 15 or more."""
+    size = max(16, 1 << int(2 * len(h) - 1).bit_length()) if len(h) else 16
+    count = np.minimum(np.bincount((mix(h) & U64(size - 1)).astype(np.int64), minlength=size), 15).astype(np.uint8)
+    return (count[: size // 2] << 4 | count[size // 2 :]).tobytes()
+
+
+def unpacked(cells: list[bytes], size: int) -> np.ndarray:
+    """Cell numbers of several sets, larger ones folded to ``size`` cells."""
+    out = np.empty((len(cells), size), np.uint8)
+    for k, c in enumerate(cells):
+        both = np.frombuffer(c, np.uint8)
+        row = np.concatenate([both >> 4, both & 15])
+        row = np.where(row == 15, 255, row) if (row == 15).any() else row
+        while len(row) > size:
+            a, b = row[: len(row) // 2].astype(np.int64), row[len(row) // 2 :]
+            row = np.minimum(a + b, 255).astype(np.uint8)
+        out[k] = row
+    return out
+
+
+def at_most_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Upper bounds of the intersections of paired sets, from their cells."""
+    return np.minimum(x, y).sum(1, dtype=np.int64)
+
+
+FIELDS = "n bigint, fp_a bigint, fp_b bigint, sketch binary, cells binary, elements binary"
 
 
 def sets(df: DataFrame, id_col: str, text_col: str, *, shingle: int, sketch: bool = True, elements: bool = False) -> DataFrame:
-    """id, size and fingerprint of each text's set, with its sketch or its elements."""
+    """id, size and fingerprint of each text's set, with its sketch and cells, or its elements."""
 
     def part(texts: pa.Array) -> list:
         b = TextBatch(texts)
@@ -177,11 +207,12 @@ def sets(df: DataFrame, id_col: str, text_col: str, *, shingle: int, sketch: boo
         out = [pa.array(n), pa.array(total(mix(h)).view(np.int64)), pa.array(total(mix(h ^ U64(0x5851F42D4C957F2D))).view(np.int64))]
         out.append(pa.array([r.tobytes() for r in sketches(own, h, b.n, REGISTERS)], pa.binary()) if sketch else pa.nulls(b.n, pa.binary()))
         cut = np.concatenate([[0], np.cumsum(n)])
+        out.append(pa.array([cells_of(h[i:j]) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary()) if sketch else pa.nulls(b.n, pa.binary()))
         out.append(pa.array([h[i:j].tobytes() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary()) if elements else pa.nulls(b.n, pa.binary()))
         return out
 
     source = df.where(col(id_col).isNotNull()).select(col(id_col).alias("id"), col(text_col).alias("text"))
-    fields = ["n", "fp_a", "fp_b", *(["sketch"] if sketch else []), *(["elements"] if elements else [])]
+    fields = ["n", "fp_a", "fp_b", *(["sketch", "cells"] if sketch else []), *(["elements"] if elements else [])]
     return annotate(source, "text", "s", FIELDS, lambda t: in_slices(t, part), ["id"]).select("id", *[F.col(f"s.{f}") for f in fields])
 
 
@@ -263,49 +294,66 @@ def _least_equal(registers: int, percent: int) -> int:
     return int(np.flatnonzero(far & (p < t)).max(initial=-1)) + 2
 
 
-def _rest_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components within buckets, from (bucket, band, id, component, n, sketch), that likelihood leaves.
+def _rest_pairs(members: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components within buckets, of (bucket, band, id, component) rows, that no bound rules out.
 
     Members outside their bucket's largest component meet all members, in blocks; a pair is
-    taken up in the first band that it shares.
+    taken up in the first band that it shares. ``slim`` has each id's n, sketch and cells,
+    which join once the blocks are dealt.
     """
     sizes = members.groupBy("bucket", "component").count()
-    wide = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("total"), F.max_by("component", F.struct("count", "component")).alias("main"))
-    wide = wide.where("parts > 1")
-    rows = members.join(wide, "bucket")
-    few = sizes.join(wide.select("bucket", "main"), "bucket").where("component != main").groupBy("bucket").agg(F.sum("count").alias("outside"))
-    rows = rows.join(few, "bucket")
-    block = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
-    spot = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), block(F.col(n))).cast("int")
-    left = rows.where("component != main").withColumn("i", spot(1, "outside")).withColumn("j", F.explode(F.sequence(F.lit(0), block(F.col("total")) - 1)))
-    right = rows.withColumn("j", spot(2, "total")).withColumn("i", F.explode(F.sequence(F.lit(0), block(F.col("outside")) - 1)))
-    fields = ["bucket", "i", "j", "band", "id", "component", "n", "sketch", "main"]
+    wide = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("total"), F.max(F.struct("count", "component")).alias("most"))
+    wide = wide.where("parts > 1").select("bucket", F.col("most.component").alias("main"), (F.col("total") - F.col("most.count")).alias("outside"), "total")
+    rows = durable(members.join(wide, "bucket"))
+    block = lambda n: F.ceil(F.col(n) / F.lit(float(BLOCK))).cast("int")
+    spot = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), block(n)).cast("int")
+    left = rows.where("component != main").withColumn("i", spot(1, "outside")).withColumn("j", F.explode(F.sequence(F.lit(0), block("total") - 1)))
+    right = rows.withColumn("j", spot(2, "total")).withColumn("i", F.explode(F.sequence(F.lit(0), block("outside") - 1)))
+    fields = ["bucket", "i", "j", "band", "id", "component", "main", "n", "sketch", "cells"]
+    full = lambda side: side.join(slim, "id").select(*[F.col(f).alias(f) for f in fields]).groupBy("bucket", "i", "j")
+    least, least_early = _least_equal(REGISTERS, percent), _least_equal(EARLY, percent)
 
     def run(key, x, y):
-        out_a, out_b = [], []
+        import pandas as pd
+
+        found = []
         if len(x) and len(y):
             band = int(x["band"].iloc[0])
             kx, ky = (np.frombuffer(b"".join(t["sketch"]), np.uint16).reshape(len(t), -1) for t in (x, y))
-            likely = _least_equal(kx.shape[1], percent)
             ix, iy, cx, cy, nx, ny, main = (t[c].to_numpy() for t, c in ((x, "id"), (y, "id"), (x, "component"), (y, "component"), (x, "n"), (y, "n"), (y, "main")))
             for k in range(0, len(x), step := max(1, COMPARED // len(y))):
                 own = slice(k, k + step)
                 # of two members outside the main component, the smaller id takes the pair up
                 go = (cy[None] != cx[own, None]) & ((cy == main)[None] | (iy[None] > ix[own, None]))
                 go &= 100 * np.minimum(ny[None], nx[own, None]) >= percent * np.maximum(ny[None], nx[own, None])
-                equal = kx[own, None, :] == ky[None, :, :]
-                row, at = np.nonzero(go & (equal.sum(2) >= likely))
-                first = ~equal[row, at, : band * ROWS].reshape(len(row), band, ROWS).all(2).any(1)
-                row, at = row[first] + k, at[first]
-                rule = log_likelihood_ratio(*compared(kx[row], ky[at]), nx[row].astype(float), ny[at].astype(float), percent / 100)
-                row, at = row[rule <= RULED_OUT], at[rule <= RULED_OUT]
-                out_a += ix[row].tolist()
-                out_b += iy[at].tolist()
-        import pandas as pd
-
-        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
-
-    return left.select(*fields).groupBy("bucket", "i", "j").cogroup(right.select(*[F.col(f).alias(f) for f in fields]).groupBy("bucket", "i", "j")).applyInPandas(run, "a bigint, b bigint")
+                row, at = np.nonzero(go)
+                row += k
+                ok = (kx[row, :EARLY] == ky[at, :EARLY]).sum(1) >= least_early
+                row, at = row[ok], at[ok]
+                equal = kx[row] == ky[at]
+                ok = (equal.sum(1) >= least) & ~equal[:, : band * ROWS].reshape(len(row), band, ROWS).all(2).any(1)
+                row, at = row[ok], at[ok]
+                ok = log_likelihood_ratio(*compared(kx[row], ky[at]), nx[row].astype(float), ny[at].astype(float), percent / 100) <= RULED_OUT
+                found.append((row[ok], at[ok]))
+            row, at = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            # the pairs of each smaller number of cells together
+            sx, sy = (np.array([2 * len(c) for c in t["cells"]]) for t in (x, y))
+            size, keep = np.minimum(sx[row], sy[at]), np.zeros(len(row), bool)
+            for c in np.unique(size).tolist():
+                own = np.flatnonzero(size == c)
+                rx, vx = np.unique(row[own], return_inverse=True)
+                ry, vy = np.unique(at[own], return_inverse=True)
+                ux, uy = unpacked([x["cells"].iloc[k] for k in rx], c), unpacked([y["cells"].iloc[k] for k in ry], c)
+                for k in range(0, len(own), step := max(1, CELLS_COMPARED // c)):
+                    part = own[k : k + step]
+                    both = at_most_shared(ux[vx[k : k + step]], uy[vy[k : k + step]])
+                    keep[part] = (100 + percent) * both >= percent * (nx[row[part]] + ny[at[part]])
+            found = [(ix[row[keep]], iy[at[keep]])]
+        a, b = found[0] if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pd.DataFrame({"a": a.astype(np.int64), "b": b.astype(np.int64)})
+
+    pairs = full(left).cogroup(full(right)).applyInPandas(run, "a bigint, b bigint")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -328,7 +376,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = F.struct(F.xxhash64("id", "bucket"), "id")
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min(order).alias("pivot")).where("members > 1").select("bucket", F.col("pivot.id").alias("pivot"))
     multi = durable(banded.join(shared, "bucket"))
-    slim = reps.select("id", "n", "sketch")
+    slim = reps.select("id", "n", "sketch", "cells")
 
     pairs = multi.where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     side = lambda x: slim.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
@@ -336,8 +384,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = durable(_confirmed(likely, docs, shingle, percent, repeated))
 
     grouped = durable(components(multi.select("id").distinct(), links))
-    members = multi.select("bucket", "band", "id").join(grouped, "id").join(slim, "id")
-    rest = durable(_rest_pairs(members, percent).distinct())
+    members = multi.select("bucket", "band", "id").join(grouped, "id")
+    rest = durable(_rest_pairs(members, slim, percent).distinct())
     more = _confirmed(rest.join(likely, ["a", "b"], "left_anti"), docs, shingle, percent, repeated)
     links = durable(links.union(more))
 
