@@ -30,7 +30,7 @@ from vectaria.llm.pretokens import pretokens
 from vectaria.llm.textbatch import TextBatch, annotate, slices
 
 #: Bytes of text whose distinct pre-tokens share one queue.
-GROUP_BYTES = 24 << 20
+GROUP_BYTES = 12 << 20
 NONE = np.int32(2**31 - 1)
 
 

@@ -76,7 +76,7 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[str | None]):
         d, start = normalised(TextBatch(pa.array(texts, pa.string())))
-        stop = np.append(start[1:] - 1, len(d) - 1)
+        stop = np.append(start[1:] - 1, len(d) - 1)[: len(start)]
         self.ids, self.texts, keys, item, offset = [], [], [], [], []
         for i, a, z in zip(ids, start.tolist(), stop.tolist(), strict=True):
             t = d[a:z]

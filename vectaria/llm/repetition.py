@@ -10,7 +10,8 @@ A text is rejected if repeats of at least ``min_repeat`` words cover more than
 ``max_covered`` percent of its words, or if some repeat has ``long_repeat`` words or more, or
 if the base rules fail (fewer than 50 words, or over half the words in repeated 3-word
 windows). Null and empty texts have no words, so they fail the base rules. Whole texts are
-read, with no limit on their length; rows that occur more than once are judged each.
+read, with no limit on their length; rows that occur more than once are judged each. A longest
+repeat of fewer than three words is given as 0.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ counted. Token counts are those of byte-level BPE without special tokens.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -35,7 +35,6 @@ CONTEXT = 12
 _pattern = regex.compile(public_tokenizers.PATTERN)
 
 TREE = "n_tokens bigint, leaf_bytes array<int>, leaf_tokens array<int>"
-EDITS = "array<struct<start: bigint, stop: bigint, text: string>>"
 
 
 def _trees(texts: pa.Array, vocab: Vocabulary) -> list:
@@ -184,38 +183,59 @@ def _disjoint(edits: list[dict | None] | None, text: str) -> list[tuple[int, int
     return [(int(where[a]), int(where[z]), t) for a, z, t in kept]
 
 
-def recount(df: DataFrame, text_col: str = "text", tree_col: str = "tree", edits_col: str = "edits", name: str = "edited", *, ranks: str, keep: list[str] | None = None) -> DataFrame:
-    """``df`` with a struct column: tokens after the edits, number of edits applied, bytes encoded again, and the new leaves."""
+def recount(
+    df: DataFrame, text_col: str = "text", edits: str | Callable[[pa.Array], pa.Array] = "edits", tree_col: str | None = None, name: str = "edited", *, ranks: str, keep: list[str] | None = None
+) -> DataFrame:
+    """``df`` with a struct column: tokens before and after the edits, number of edits applied, bytes encoded again, and the new leaves.
+
+    ``edits`` is a column, or a function that makes an array of edits of an array of texts.
+    Trees are those of ``tree_col``, or are made in the same pass without it.
+    """
     on_workers(df.sparkSession)
     keep = [c for c in (df.columns if keep is None else keep) if c != name]
-    source = df.select(*[col(c) for c in keep], col(text_col).cast("string").alias("__text"), col(tree_col).alias("__tree"), col(edits_col).alias("__edits"))
-    ddl = "n_tokens bigint, n_edits bigint, encoded_bytes bigint, leaf_bytes array<int>, leaf_tokens array<int>"
-    schema = T.StructType([*source.schema.fields[:-3], T.StructField(name, T.StructType.fromDDL(ddl))])
+    more = [col(c).alias(a) for c, a in ((edits if isinstance(edits, str) else None, "__edits"), (tree_col, "__tree")) if c]
+    source = df.select(*[col(c) for c in keep], col(text_col).cast("string").alias("__text"), *more)
+    ddl = "n_before bigint, n_tokens bigint, n_edits bigint, encoded_bytes bigint, leaf_bytes array<int>, leaf_tokens array<int>"
+    schema = T.StructType([*source.schema.fields[: len(keep)], T.StructField(name, T.StructType.fromDDL(ddl))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(ranks)
         for batch in batches:
-            text, tree, edits = batch.columns[-3:]
-            before = tree.field("n_tokens").to_pylist()
-            n_edits, encoded = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            leaves = [tree.field(c).to_pylist() for c in ("leaf_bytes", "leaf_tokens")]
-            rows, at = [], []
-            for k in np.flatnonzero(np.asarray(pc.fill_null(pc.list_value_length(edits), 0)) > 0).tolist():
-                plain = text[k].as_py() or ""
-                todo = _disjoint(edits[k].as_py(), plain)
-                rows.append((TokenTree(leaves[0][k] or [], leaves[1][k] or []), plain.encode(), todo))
-                at.append(k)
-            apply_edits(rows, vocab)
-            for k, (own, _, todo) in zip(at, rows, strict=True):
-                before[k], n_edits[k], encoded[k] = own.n_tokens, len(todo), own.encoded
-                for c in (0, 1):
-                    leaves[c][k] = own.sums[c][own.base : own.base + own.n]
-            made = [pa.array(before, pa.int64()), pa.array(n_edits), pa.array(encoded), *[pa.array(c, pa.list_(pa.int32())) for c in leaves]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.StructArray.from_arrays(made, names=["n_tokens", "n_edits", "encoded_bytes", "leaf_bytes", "leaf_tokens"])], names=[*batch.schema.names[:-3], name])
+            for a, z in slices(batch.column(len(keep)), GROUP_BYTES):
+                part = batch.slice(a, z - a)
+                text = pc.fill_null(part.column(len(keep)), "")
+                todo = part.column("__edits") if isinstance(edits, str) else edits(text)
+                tree = [part.column("__tree").field(c) for c in ("n_tokens", "leaf_bytes", "leaf_tokens")] if tree_col else _trees(text, vocab)
+                made = _edited(text, tree, todo, vocab)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.StructArray.from_arrays(made, names=["n_before", "n_tokens", "n_edits", "encoded_bytes", "leaf_bytes", "leaf_tokens"])], names=[*keep, name])
 
     return source.mapInArrow(run, schema)
 
 
+def _edited(text: pa.Array, tree: list[pa.Array], edits: pa.Array, vocab: Vocabulary) -> list[pa.Array]:
+    before = pc.fill_null(tree[0], 0)
+    has = np.flatnonzero(np.asarray(pc.fill_null(pc.list_value_length(edits), 0)) > 0)
+    if not len(has):
+        zero = pa.array(np.zeros(len(text), np.int64))
+        return [before, before, zero, zero, *tree[1:]]
+    rows = []
+    for k in has.tolist():
+        plain = text[k].as_py()
+        rows.append((TokenTree(tree[1][k].as_py() or [], tree[2][k].as_py() or []), plain.encode(), _disjoint(edits[k].as_py(), plain)))
+    apply_edits(rows, vocab)
+    after, n_edits, encoded = np.array(before), np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+    leaves = []
+    for c in (0, 1):
+        # unedited trees stay as they are; only edited ones are replaced
+        new = pa.array([own.sums[c][own.base : own.base + own.n] for own, _, _ in rows], pa.list_(pa.int32()))
+        take = np.arange(len(text))
+        take[has] = len(text) + np.arange(len(has))
+        leaves.append(pa.concat_arrays([tree[1 + c].cast(pa.list_(pa.int32())), new]).take(pa.array(take)))
+    for k, (own, _, todo) in zip(has.tolist(), rows, strict=True):
+        after[k], n_edits[k], encoded[k] = own.n_tokens, len(todo), own.encoded
+    return [before, pa.array(after), pa.array(n_edits), pa.array(encoded), *leaves]
+
+
 _NUMBER = re.compile(r"[0-9]{2,}")
 
 
@@ -255,7 +275,5 @@ def op3(spark, sf_dir: str) -> DataFrame:
     """Token counts of all documents before and after the cleaning edits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    trees = token_trees(docs, ranks=ranks)
-    edits = annotate(trees, "text", "edits", f"list {EDITS}", lambda t: in_slices(t, cleaning_edits)).withColumn("edits", col("edits").getField("list"))
-    r = recount(edits, ranks=ranks, keep=["doc_id", "tree"])
-    return r.selectExpr("doc_id", "tree.n_tokens AS n_tokens", "edited.n_edits AS n_edits", "edited.n_tokens AS n_tokens_edited", "edited.encoded_bytes AS encoded_bytes")
+    r = recount(docs, edits=lambda t: pa.concat_arrays([c for c in in_slices(t, cleaning_edits)]), ranks=ranks, keep=["doc_id"])
+    return r.selectExpr("doc_id", "edited.n_before AS n_tokens", "edited.n_edits AS n_edits", "edited.n_tokens AS n_tokens_edited", "edited.encoded_bytes AS encoded_bytes")
