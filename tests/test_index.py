@@ -107,7 +107,7 @@ def test_few_rows_and_k_beyond(spark, data):
 def test_split_on_drift_without_leaks(spark):
     rng = np.random.default_rng(11)
     a, b = rng.standard_normal((200, 16)).astype(np.float32), (rng.standard_normal((400, 16)) + 50).astype(np.float32)
-    i = build(spark, a, n_clusters=4, nprobe=4, split_threshold=2.0, soft_k=2)
+    i = build(spark, a, n_clusters=4, nprobe=4, split_threshold=2.0)
     i.delete(range(0, 200, 2))
     i.add(frame(spark, b, 200))
     assert i.stats()["n_clusters"] > 4
