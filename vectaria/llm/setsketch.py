@@ -18,7 +18,7 @@ Steps, all of them joins and aggregations over tables in the shared checkpoint f
    likelihood ratio over ``RULED_OUT``); the rest are confirmed on the full sets.
 4. Components of confirmed links. In buckets that still span several components, members
    outside the bucket's largest component are compared with all others, in blocks of
-   ``BLOCK`` by ``BLOCK``: the likelihood of their sketches and then an upper bound of their
+   ``BLOCK`` by ``BLOCK``: a bit of each register, the likelihood of their sketches and then an upper bound of their
    intersection, from how their elements fall into cells, rule pairs out; the few that are left
    are confirmed as before. So no link between bucket members goes lost, and nothing grows with
    the square of a group of copies that are already linked.
@@ -50,11 +50,10 @@ BASE, LEVELS = 1.001, 65534
 RATE = 20.0
 RULED_OUT = 12.0
 BLOCK = 512
-#: Pairs of sketches compared in one step (their registers' equality takes that many times REGISTERS bytes).
-COMPARED = 32_768
-#: Bytes of cells compared in one step, and registers looked at first.
+#: Pairs of sketches compared in one step.
+COMPARED = 65_536
+#: Bytes of cells compared in one step.
 CELLS_COMPARED = 4 << 20
-EARLY = 60
 
 
 # ---- sets and sketches
@@ -294,6 +293,15 @@ def _least_equal(registers: int, percent: int) -> int:
     return int(np.flatnonzero(far & (p < t)).max(initial=-1)) + 2
 
 
+def _bits(k: np.ndarray) -> np.ndarray:
+    """A bit of each register's hash, packed in 64-bit words."""
+    bit = (k.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(31)
+    packed = np.packbits(bit.astype(np.uint8), axis=1)
+    out = np.zeros((len(k), -(-packed.shape[1] // 8) * 8), np.uint8)
+    out[:, : packed.shape[1]] = packed
+    return out.view(U64)
+
+
 def _rest_pairs(members: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
     """Pairs across components within buckets, of (bucket, band, id, component) rows, that no bound rules out.
 
@@ -311,7 +319,10 @@ def _rest_pairs(members: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
     right = rows.withColumn("j", spot(2, "total")).withColumn("i", F.explode(F.sequence(F.lit(0), block("outside") - 1)))
     fields = ["bucket", "i", "j", "band", "id", "component", "main", "n", "sketch", "cells"]
     full = lambda side: side.join(slim, "id").select(*[F.col(f).alias(f) for f in fields]).groupBy("bucket", "i", "j")
-    least, least_early = _least_equal(REGISTERS, percent), _least_equal(EARLY, percent)
+    least = _least_equal(REGISTERS, percent)
+    # a bit of an unequal register differs half the time; six deviations are allowed
+    p = (1 - percent / 100) / 2
+    most_unlike = int(REGISTERS * p + 6 * (REGISTERS * p * (1 - p)) ** 0.5) + 1
 
     def run(key, x, y):
         import pandas as pd
@@ -320,16 +331,16 @@ def _rest_pairs(members: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
         if len(x) and len(y):
             band = int(x["band"].iloc[0])
             kx, ky = (np.frombuffer(b"".join(t["sketch"]), np.uint16).reshape(len(t), -1) for t in (x, y))
+            bx, by = _bits(kx), _bits(ky)
             ix, iy, cx, cy, nx, ny, main = (t[c].to_numpy() for t, c in ((x, "id"), (y, "id"), (x, "component"), (y, "component"), (x, "n"), (y, "n"), (y, "main")))
             for k in range(0, len(x), step := max(1, COMPARED // len(y))):
                 own = slice(k, k + step)
                 # of two members outside the main component, the smaller id takes the pair up
                 go = (cy[None] != cx[own, None]) & ((cy == main)[None] | (iy[None] > ix[own, None]))
                 go &= 100 * np.minimum(ny[None], nx[own, None]) >= percent * np.maximum(ny[None], nx[own, None])
+                go &= np.bitwise_count(bx[own, None] ^ by[None]).sum(2, dtype=np.uint16) <= most_unlike
                 row, at = np.nonzero(go)
                 row += k
-                ok = (kx[row, :EARLY] == ky[at, :EARLY]).sum(1) >= least_early
-                row, at = row[ok], at[ok]
                 equal = kx[row] == ky[at]
                 ok = (equal.sum(1) >= least) & ~equal[:, : band * ROWS].reshape(len(row), band, ROWS).all(2).any(1)
                 row, at = row[ok], at[ok]
