@@ -15,6 +15,8 @@ from pyspark.sql import SparkSession
 
 #: Further candidates that a selection by matrix product keeps, against its rounding.
 MARGIN = 8
+#: Distances of one matrix product.
+PRODUCT = 1 << 21
 #: Digits at which distances are ranked; ties go to the smaller id.
 RANK_DIGITS = 9
 
@@ -59,27 +61,39 @@ def all_l2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def nearest(vectors: np.ndarray, centroids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and distances of the k nearest centroids of each vector, nearest first, ties by id."""
-    d = all_l2(vectors, centroids)
     k = min(k, len(ids))
-    order = np.argsort(ids)
-    d, ids = d[:, order], ids[order]
-    by = np.argsort(np.round(d, RANK_DIGITS), axis=1, kind="stable")[:, :k]
-    return ids[by], np.take_along_axis(d, by, 1)
+    _, at, d = top_pairs(vectors, centroids, ids, k)
+    return ids[at].reshape(-1, k), d.reshape(-1, k)
 
 
 def top_pairs(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query its k nearest vectors: query rows, vector rows and exact distances."""
-    q, v = queries.astype(np.float64), vectors.astype(np.float64)
-    rough = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T
+    """For each query its k nearest vectors: query rows, vector rows and exact distances.
+
+    Works through the queries in blocks, so that a block's distances take PRODUCT values at most.
+    """
+    v = vectors.astype(np.float64)
+    v_sq = (v * v).sum(1)
     m = min(k + MARGIN, len(v))
-    pick = np.argpartition(rough, m - 1, axis=1)[:, :m] if m < len(v) else np.tile(np.arange(len(v)), (len(q), 1))
-    row = np.repeat(np.arange(len(q)), m)
-    at = pick.ravel()
-    d = exact_l2(queries[row], vectors[at])
-    order = np.lexsort((ids[at], np.round(d, RANK_DIGITS), row))
-    row, at, d = row[order], at[order], d[order]
-    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-    return row[keep], at[keep], d[keep]
+    rows, ats, ds = [], [], []
+    for s in range(0, len(queries), step := max(1, PRODUCT // max(1, len(v)))):
+        own = queries[s : s + step]
+        q = own.astype(np.float64)
+        if m < len(v):
+            rough = (q * q).sum(1)[:, None] + v_sq[None, :] - 2 * q @ v.T
+            at = np.argpartition(rough, m - 1, axis=1)[:, :m].ravel()
+        else:
+            at = np.tile(np.arange(len(v)), len(q))
+        row = np.repeat(np.arange(len(q)), m)
+        d = exact_l2(own[row], vectors[at])
+        order = np.lexsort((ids[at], np.round(d, RANK_DIGITS), row))
+        row, at, d = row[order], at[order], d[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        rows.append(row[keep] + s)
+        ats.append(at[keep])
+        ds.append(d[keep])
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return np.concatenate(rows), np.concatenate(ats), np.concatenate(ds)
 
 
 def fixed_point(x: np.ndarray, scale: float) -> np.ndarray:

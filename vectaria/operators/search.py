@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectaria.functions.kernels import all_l2, matrix, on_workers, top_pairs
+from vectaria.functions.kernels import matrix, on_workers, top_pairs
 from vectaria.functions.vectors import l2_distance
 from vectaria.operators.assign import nearest_cells
 from vectaria.operators.kmeans import Centroids
@@ -93,11 +93,11 @@ def probes(queries: DataFrame, cells: Centroids, nprobe: int) -> DataFrame:
 
 def probe_pass(q: Queries, cells: Centroids, nprobe: int) -> Queries:
     """The same for the queries of a pass: which queries probe each cell."""
-    d = np.round(all_l2(q.vectors, cells.vectors), 9)
-    by = np.argsort(d, axis=1, kind="stable")[:, : max(1, min(nprobe, len(cells.ids)))]
-    row = np.repeat(np.arange(len(q.ids)), by.shape[1])
-    cell = cells.ids[by.ravel()]
-    q.probed = {int(c): row[cell == c] for c in np.unique(cell)}
+    row, at, _ = top_pairs(q.vectors, cells.vectors, cells.ids, max(1, min(nprobe, len(cells.ids))))
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    cuts = np.flatnonzero(np.diff(at)) + 1
+    q.probed = {int(cells.ids[a[0]]): r for a, r in zip(np.split(at, cuts), np.split(row, cuts), strict=True) if len(a)}
     return q
 
 

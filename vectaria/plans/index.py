@@ -24,6 +24,10 @@ from vectaria.operators.rank import top_k
 from vectaria.plans.config import IndexConfig
 
 
+#: Additions and splits whose rows stay in tables of their own before all are written as one.
+MOST_PIECES = 32
+
+
 class VectorIndex:
     """Build, add, delete, search, compact, split and describe; see IndexConfig for parameters."""
 
@@ -37,6 +41,7 @@ class VectorIndex:
         self.codes: DataFrame | None = None
         self.n_issued = self.next_id = self.round = self.generation = 0
         self.last_batch = -1
+        self._pieces = 0
 
     # ---- inserts
 
@@ -90,22 +95,33 @@ class VectorIndex:
             raise ValueError("ids must be new")
         known = self.spark.createDataFrame([(int(c),) for c in self.cells.ids], "cluster_id int")
         a = assignments.select("vec_id", F.col("assign_rank").cast("int").alias("assign_rank"), F.col("cluster_id").cast("int").alias("cluster_id")).join(F.broadcast(known), "cluster_id", "left_semi")
+        # ranks close up over skipped cells, so every stored vector has a row of rank 1
+        a = a.withColumn("assign_rank", F.row_number().over(Window.partitionBy("vec_id").orderBy("assign_rank", "cluster_id")))
         norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
         self._append(a.join(rows, "vec_id").select("cluster_id", "vec_id", "assign_rank", "embedding", norm.alias("norm_sq")), span[0], span[1], rows.select("vec_id"))
         self.rebalance()
         self._auto_compact()
 
     def _append(self, postings: DataFrame, n: int, last: int, ids: DataFrame | None = None) -> None:
-        self.postings = durable(self.postings.unionByName(postings))
+        # only the new rows are written; after MOST_PIECES additions all are written as one
+        new = durable(postings)
+        self.postings = self.postings.unionByName(new)
+        if self.quantiser is not None:
+            codes = durable(scalar_quant.encode(new, self.quantiser))
+            self.codes = codes if self.codes is None else self.codes.unionByName(codes)
         if ids is not None:
             # rows without any location still count as issued
-            lost = ids.join(self.postings.select("vec_id").distinct(), "vec_id", "left_anti")
+            lost = ids.join(new.select("vec_id").distinct(), "vec_id", "left_anti")
             self.purged = durable(self.purged.union(lost))
+        self._pieces += 1
+        if self._pieces > MOST_PIECES:
+            self.postings = durable(self.postings)
+            self.codes = self.codes and durable(self.codes)
+            self._pieces = 1
         self.n_issued += n
         self.next_id = max(self.next_id, last + 1)
         self.round += 1
         self.generation += 1
-        self._encode()
 
     def _encode(self) -> None:
         if self.quantiser is not None:
@@ -137,8 +153,7 @@ class VectorIndex:
 
     def vectors(self) -> DataFrame:
         """(vec_id, embedding) of live vectors, one row each."""
-        first = self.live().groupBy("vec_id").agg(F.min_by("embedding", "assign_rank").alias("embedding"))
-        return self.live().where("assign_rank = 1").select("vec_id", "embedding") if self.config.soft_k == 1 else first
+        return self.live().where("assign_rank = 1").select("vec_id", "embedding")
 
     def compact(self) -> int:
         """Rewrites postings without deleted vectors; their ids stay known. Returns how many ids were purged."""
@@ -148,6 +163,7 @@ class VectorIndex:
             self.purged = durable(self.purged.union(self.tombstones))
             self.tombstones = self.spark.createDataFrame([], "vec_id bigint")
             self.generation += 1
+            self._pieces = 1
             self._encode()
         return n
 
@@ -177,18 +193,20 @@ class VectorIndex:
             return 0
         to = self.spark.createDataFrame(list(moved.items()), "cluster_id int, new_id int")
         go = sides.where("side = 1").join(F.broadcast(to), "cluster_id").select("cluster_id", "vec_id", "new_id")
-        # other cells keep their dead rows; split ones drop theirs
-        dead = self.tombstones.select("vec_id", F.lit(True).alias("dead"))
-        rows = self.postings.join(dead, "vec_id", "left").where(F.col("dead").isNull() | ~F.col("cluster_id").isin(list(moved)))
-        rows = rows.join(go, ["cluster_id", "vec_id"], "left").withColumn("cluster_id", F.coalesce("new_id", "cluster_id"))
-        gone = self.tombstones.join(rows.select("vec_id"), "vec_id", "left_anti")
-        self.postings = durable(rows.select("cluster_id", "vec_id", "assign_rank", "embedding", "norm_sq"))
-        gone = durable(gone)
+        # only the split cells are rewritten, without their dead rows
+        touched = F.col("cluster_id").isin(list(moved))
+        rows = search.live(self.postings.where(touched), self.tombstones).join(go, ["cluster_id", "vec_id"], "left").withColumn("cluster_id", F.coalesce("new_id", "cluster_id"))
+        rows = durable(rows.select("cluster_id", "vec_id", "assign_rank", "embedding", "norm_sq"))
+        self.postings = self.postings.where(~touched).unionByName(rows)
+        if self.codes is not None:
+            self.codes = self.codes.where(~touched).unionByName(durable(scalar_quant.encode(rows, self.quantiser)))
+        self._pieces += 1
+        # a split may leave ids that have no rows any more
+        gone = durable(self.tombstones.join(self.postings.select("vec_id"), "vec_id", "left_anti"))
         if not gone.isEmpty():
             self.purged = durable(self.purged.union(gone))
             self.tombstones = durable(self.tombstones.join(gone, "vec_id", "left_anti"))
         self.generation += 1
-        self._encode()
         return len(moved)
 
     # ---- searches
