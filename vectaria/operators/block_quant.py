@@ -8,11 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from vectaria.functions.kernels import all_l2, matrix, on_workers
 from vectaria.operators.rank import top_k
-from vectaria.operators.scalar_quant import ROTATION_SEED, TINY, TRAIN_ROWS, in_order_dot, rotation, unit
+from vectaria.operators.scalar_quant import ROTATION_SEED, TINY, bounded_sample, in_order_dot, rotation, unit
 from vectaria.operators.search import Queries, in_passes
 
 #: Fixed value: rounds of training at most.
@@ -99,10 +98,7 @@ def fit(vectors: DataFrame, dim: int, block: int, words: int, *, rounds: int = R
         raise ValueError("the block size must divide the dimension")
     spark = vectors.sparkSession
     on_workers(spark)
-    n = vectors.count()
-    rows = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(TRAIN_ROWS / n * (1 << 30))) if n > TRAIN_ROWS else vectors
-    sample = rows.orderBy("vec_id").select("embedding").toArrow().combine_chunks()
-    x = np.array(sample["embedding"].to_pylist(), np.float32).reshape(-1, dim)
+    x = bounded_sample(vectors, dim)
     turn = rotation(dim)
     shared = spark.sparkContext.broadcast(np.round(in_order_dot(turn, unit(x)[0]), 9))
     n_blocks = dim // block

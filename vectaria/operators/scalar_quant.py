@@ -126,12 +126,17 @@ class ScalarQuantiser:
         return packed + 8 * stored
 
 
-def fit(vectors: DataFrame, dim: int, bits: int, *, calibration: bool = False, rounds: int = LLOYD_ROUNDS, seed: int = ROTATION_SEED) -> ScalarQuantiser:
-    """Fits on a bounded sample: of more than TRAIN_ROWS rows, a share chosen by a hash of the id."""
+def bounded_sample(vectors: DataFrame, dim: int) -> np.ndarray:
+    """All vectors in order of id or, of more than TRAIN_ROWS, about that many chosen by a hash of the id."""
     n = vectors.count()
     rows = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(TRAIN_ROWS / n * (1 << 30))) if n > TRAIN_ROWS else vectors
-    sample = rows.orderBy("vec_id").select("embedding").toArrow().combine_chunks()
-    x = np.array(sample["embedding"].to_pylist(), np.float32).reshape(-1, dim)
+    sample = rows.orderBy("vec_id").select("embedding").toArrow()
+    return np.array(sample["embedding"].to_pylist(), np.float32).reshape(-1, dim)
+
+
+def fit(vectors: DataFrame, dim: int, bits: int, *, calibration: bool = False, rounds: int = LLOYD_ROUNDS, seed: int = ROTATION_SEED) -> ScalarQuantiser:
+    """Fits on a bounded sample: of more than TRAIN_ROWS rows, a share chosen by a hash of the id."""
+    x = bounded_sample(vectors, dim)
     turn = rotation(dim, seed)
     r = np.round(in_order_dot(turn, unit(x)[0]), 9)
     pool = np.rint(r.ravel() * 1e9).astype(np.int64)

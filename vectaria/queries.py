@@ -363,8 +363,7 @@ def q_tq_codebook(s, d):
 
 
 def q_tq_calibration(s, d):
-    sample = vectors(s, d).orderBy("vec_id").toArrow()
-    x = np.array(sample["embedding"].to_pylist(), np.float32).reshape(-1, DIM)
+    x = scalar_quant.bounded_sample(vectors(s, d), DIM)
     shift, scale = scalar_quant.calibrate(fixed_quantiser().rotated(x)[0])
     return s.createDataFrame([(j, float(round(a, 6)) + 0.0, float(round(b, 6))) for j, (a, b) in enumerate(zip(shift, scale, strict=True))], "pos bigint, shift double, scale double")
 
@@ -398,13 +397,16 @@ def q_tq_fastscan_score(s, d):
 
 
 def q_tq_fastscan_lut(s, d):
-    q = queries_of(vectors(s, d)).orderBy("query_id").collect()
-    table, _ = fixed_quantiser().tables(np.array([r["qv"] for r in q], np.float64))
-    rows = []
-    for r, t in zip(q, table, strict=True):
-        lut, lo, step = scalar_quant.quantise_table(t)
-        rows.append((r["query_id"], int(lut.astype(np.int64).sum()), round(lo, 6), round(step, 9)))
-    return s.createDataFrame(rows, "query_id bigint, total bigint, lo double, step double")
+    on_workers(s)
+    q = s.sparkContext.broadcast(fixed_quantiser())
+
+    def run(batches):
+        for b in batches:
+            made = [scalar_quant.quantise_table(t) for t in q.value.tables(matrix(b.column(1), DIM))[0]]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int(m[0].sum(dtype=np.int64)) for m in made], pa.int64()), pa.array([m[1] for m in made], pa.float64()), pa.array([m[2] for m in made], pa.float64())], names=["query_id", "total", "lo", "step"])
+
+    rows = queries_of(vectors(s, d)).mapInArrow(run, "query_id bigint, total bigint, lo double, step double")
+    return rows.select("query_id", "total", rounded("lo").alias("lo"), rounded("step", 9).alias("step"))
 
 
 def _tq_found(s, d, k):
