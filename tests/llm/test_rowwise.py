@@ -271,6 +271,34 @@ def test_decontamination(rng, odd_texts):
     assert not any(g for g, w in zip(got, want, strict=True) if not w)
 
 
+@pytest.mark.parametrize("passage", ["À Noël, l'été dernier, la fenêtre du château était restée fermée à clé; où êtes-vous allés après ça, près de la forêt gelée?", "Die Straße führt über die große Brücke; schöne Mädchen grüßen höflich, während müde Käufer draußen Süßes genießen.", "El niño pequeño soñó mañana con la cigüeña; ¿dónde está el corazón del montón de piñas, allí o aquí, señor Núñez?"])
+def test_decontamination_folds_all_letters(passage):
+    items = decontaminate.Items([1], [passage])
+    texts = pa.array(["vorher " + passage.upper() + " après", passage, passage.title(), "otro texto " * 20], pa.string())
+    assert {t for t, *_ in decontaminate.matches(decontaminate.folded(texts), items)} == {0, 1, 2}
+    upper = decontaminate.Items([1], [passage.upper()])
+    assert {t for t, *_ in decontaminate.matches(decontaminate.folded(texts), upper)} == {0, 1, 2}
+
+
+def test_decontamination_finds_the_stated_edits(rng):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    some = lambda n: [rng.choice(letters) for _ in range(n)]
+    passages = ["".join(some(n)) for n in (64, 90, 200) for _ in range(10)]
+    items = decontaminate.Items(list(range(len(passages))), passages)
+    assert set(items.edits.tolist()) == {decontaminate.EDITS} and all(decontaminate.budget(n)[2] > 0 for n in range(decontaminate.MIN_ITEM, 100))
+    texts = []
+    for k in range(300):
+        p = passages[k % len(passages)]
+        a = rng.randint(0, len(p) - decontaminate.WINDOW)
+        part = list(p[a : a + decontaminate.WINDOW])
+        for _ in range(decontaminate.EDITS):
+            at, kind = rng.randrange(len(part)), rng.randrange(3)
+            part[at : at + (kind != 1)] = [] if kind == 0 else some(1)
+        texts.append("".join(some(150) + part + some(150)))
+    found = {(t, items.ids[i]) for t, i, *_ in decontaminate.matches(TextBatch(pa.array(texts)), items)}
+    assert found == {(k, k % len(passages)) for k in range(300)}
+
+
 def test_banded_distance_equals_table(rng):
     for _ in range(200):
         x = bytes(rng.choice(b"ab") for _ in range(12))

@@ -1,6 +1,6 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Texts and benchmark items are normalised (A-Z lower-cased, runs of white space and ASCII
+Texts and benchmark items are normalised (all letters case-folded, runs of white space and ASCII
 punctuation written as one blank). An alignment of ``WINDOW`` signs (or a whole shorter item)
 with at most ``k`` edits keeps at least ``WINDOW - q + 1 - q k`` q-grams of the item, all on
 diagonals no further than ``k`` apart. So, per text:
@@ -40,6 +40,11 @@ _FOLD = LOWER.copy()
 _FOLD[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
 
 
+def folded(texts: pa.Array) -> TextBatch:
+    """The texts with all letters case-folded; ``normalised`` lower-cases what is ASCII alone."""
+    return TextBatch(pa.array([t if t is None or t.isascii() else t.casefold() for t in texts.to_pylist()], pa.large_string()))
+
+
 def normalised(b: TextBatch) -> tuple[np.ndarray, np.ndarray]:
     """Folded bytes of all texts, each after one blank, and where each text starts."""
     d = _FOLD[b.data]
@@ -67,7 +72,7 @@ def _slot(g: np.ndarray) -> np.ndarray:
 def budget(size: int) -> tuple[int, int, int]:
     """Window, edits and least shared q-grams for an item of ``size`` signs."""
     w = min(WINDOW, size)
-    k = min(EDITS, max(0, (w - Q) // (2 * Q)))
+    k = min(EDITS, max(0, (w - Q) // Q))
     return w, k, w - Q + 1 - Q * k
 
 
@@ -75,7 +80,7 @@ class Items:
     """Normalised benchmark items and their gram table."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
-        d, start = normalised(TextBatch(pa.array(texts, pa.string())))
+        d, start = normalised(folded(pa.array(texts, pa.string())))
         stop = np.append(start[1:] - 1, len(d) - 1)[: len(start)]
         self.ids, self.texts, keys, item, offset = [], [], [], [], []
         for i, a, z in zip(ids, start.tolist(), stop.tolist(), strict=True):
@@ -168,7 +173,7 @@ def matches(b: TextBatch, items: Items) -> list[tuple[int, int, int, int]]:
         full &= o_pos[tail] - o_pos <= items.window[o_item] - Q + items.edits[o_item]
         found.append(np.stack([o_doc, o_item, o_pos, o_diag], 1)[full])
     regions = np.concatenate(found)
-    out, done = [], set()
+    out, done, tried = [], set(), set()
     for t, i, p, dg in regions[np.lexsort((regions[:, 2], regions[:, 1], regions[:, 0]))].tolist():
         if (t, i) in done:
             continue
@@ -177,9 +182,12 @@ def matches(b: TextBatch, items: Items) -> list[tuple[int, int, int, int]]:
         item_at = p - (dg - (1 << 20))
         lo = start[t]
         hi = (start[t + 1] - 1) if t + 1 < len(start) else len(d) - 1
-        # windows of the item that may hold the hit as one of their first grams
-        for a in sorted({max(0, min(begin - s, len(text) - w)) for s in range(0, Q * e + 1, max(1, Q // 2))}, reverse=True):
-            y0 = p - (item_at - a) - 2 * e
+        # windows of the item that may hold the hit as one of their first grams; the alignment starts no further than e from the hit's diagonal
+        for a in sorted({max(0, min(begin - s, len(text) - w)) for s in range(Q * e + 1)}, reverse=True):
+            if (t, i, a, dg) in tried:
+                continue
+            tried.add((t, i, a, dg))
+            y0 = p - (item_at - a) - e
             y = d[max(lo, y0) : min(hi, y0 + w + 6 * e + 1)]
             pad = max(0, lo - y0)
             y = np.concatenate([np.zeros(pad, np.uint8), y]) if pad else y
@@ -212,7 +220,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", n
 
     def compute(texts: pa.Array) -> list:
         def part(t: pa.Array) -> list:
-            b = TextBatch(t)
+            b = folded(t)
             found: list[set] = [set() for _ in range(b.n)]
             for shared in parts:
                 for row, i, _, _ in matches(b, shared.value):
