@@ -248,6 +248,13 @@ def test_viterbi_equals_search(rng):
     assert tuple(label) == max(itertools.product(range(3), repeat=6), key=total)
 
 
+def test_viterbi_with_many_languages():
+    scores = np.full((6, 200), -50, np.float32)
+    want = [130, 130, 199, 199, 127, 128]
+    scores[np.arange(6), want] = 0
+    assert langid.viterbi(scores, np.array([0, 4, 6]), 1.5).tolist() == want
+
+
 # ---- decontamination
 
 

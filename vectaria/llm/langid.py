@@ -153,7 +153,7 @@ def word_scores(b: TextBatch, model: Model) -> tuple[np.ndarray, np.ndarray]:
 def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray:
     """Label of each word; all texts of the slice advance together, word by word."""
     n_words, n_langs = scores.shape
-    label = np.zeros(n_words, np.int8)
+    label = np.zeros(n_words, np.int32)
     if not n_words:
         return label
     size = np.diff(bounds)
@@ -162,7 +162,7 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray
     begin, size = bounds[:-1][by], size[by]
     best = scores[begin].astype(np.float64)
     stay = np.ones((n_words, n_langs), bool)
-    jump = np.zeros(n_words, np.int8)
+    jump = np.zeros(n_words, np.int32)
     active = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")
     for t in range(1, int(size[0])):
         m = active[t]
@@ -192,7 +192,7 @@ def _slice(texts: pa.Array, model: Model, switch: float, spans: bool) -> list:
     b = TextBatch(texts)
     n_langs = len(model.langs)
     share = np.zeros((b.n, max(n_langs, 1)))
-    label = np.zeros(0, np.int8)
+    label = np.zeros(0, np.int32)
     if n_langs:
         scores, n_letters = word_scores(b, model)
         label = viterbi(scores, b.word_bounds, switch)
