@@ -239,6 +239,15 @@ def test_language_spans_and_edges(spark, docs, odd_texts):
     assert {x.language.lang for x in langid.identify(docs, empty).collect()} == {"und"}
 
 
+def test_rare_languages_keep_their_texts(spark):
+    rows = [(i, f"the quick brown fox {i} and the lazy dog", "en") for i in range(600)] + [(1000 + i, f"быстрая лиса {i} и ленивая собака", "ru") for i in range(3)]
+    train = spark.createDataFrame(rows, "id bigint, text string, lang string")
+    some, every = langid.fit(train, "text", "lang", "id", sample=20), langid.fit(train, "text", "lang", "id")
+    assert some.langs == every.langs == ["en", "ru"]
+    assert (some.gram[:, 1] == every.gram[:, 1]).all() and (some.uses[:, 1] == every.uses[:, 1]).all() and some.uses[:, 1].any()
+    assert some.uses[:, 0].any() and (some.gram[:, 0] != every.gram[:, 0]).any()
+
+
 def test_viterbi_equals_search(rng):
     import itertools
 

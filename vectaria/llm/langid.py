@@ -6,9 +6,9 @@ narrow its candidates to the languages that use the script in the training texts
 with a penalty for each switch labels the words of a text; equal-label neighbours are spans.
 The prediction of a text is the language with most letters, its score their share.
 
-Training counts come from at most about ``SAMPLE`` labelled texts, chosen by a hash of the
-text id, so that what reaches the driver is bounded by languages times buckets. Ties between
-languages go to the one that sorts first. Null texts and texts without any letter are ``und``
+Training counts come from at most about ``SAMPLE`` labelled texts of each language, chosen by a
+hash of the text id; a language with fewer keeps all its texts. What reaches the driver is
+bounded by languages times buckets. Ties between languages go to the one that sorts first. Null texts and texts without any letter are ``und``
 with score 0. Whole texts are read.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from vectaria.llm.pretokens import LETTER, classes, code_points
 from vectaria.llm.textbatch import LOWER, TextBatch, WHITE, annotate, col, in_slices, on_workers, slices
 
-#: Bound on the labelled texts that a model is fitted on (expected number; they are hashed).
+#: Bound on the labelled texts of a language that a model is fitted on (expected number; they are hashed).
 SAMPLE = 20_000
 BUCKETS = 1 << 15
 SWITCH = 12.0
@@ -106,17 +106,18 @@ class Model:
 
 
 def fit(df: DataFrame, text_col: str, lang_col: str, id_col: str, sample: int = SAMPLE) -> Model:
-    """Fits on about ``sample`` rows with a non-null language, or all if there are fewer."""
+    """Fits on about ``sample`` rows of each non-null language, or all if it has fewer."""
     on_workers(df.sparkSession)
     labelled = df.where(col(lang_col).isNotNull() & col(text_col).isNotNull())
     found = labelled.groupBy(col(lang_col).alias("lang")).count().collect()
     langs = sorted(r["lang"] for r in found)
-    total = sum(r["count"] for r in found)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool))
     keep = labelled
-    if total > sample:
-        keep = labelled.where(F.pmod(F.xxhash64(col(id_col)), F.lit(1 << 20)) < int(sample / total * (1 << 20)))
+    share = {r["lang"]: int(sample / r["count"] * (1 << 20)) for r in found if r["count"] > sample}
+    if share:
+        most = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[col(lang_col)]
+        keep = labelled.where(F.pmod(F.xxhash64(col(id_col)), F.lit(1 << 20)) < F.coalesce(most, F.lit(1 << 20)))
     index = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
     rows = _counts(keep.select(index[col(lang_col)].alias("lang"), col(text_col).alias("text")), len(langs)).collect()
     grams, script = np.full((BUCKETS, len(langs)), 0.5), np.zeros((len(SCRIPT_NAMES), len(langs)))
