@@ -315,6 +315,12 @@ def test_decontamination_finds_the_stated_edits(rng):
     assert found == {(k, k % len(passages)) for k in range(300)}
 
 
+def test_gram_table_is_as_small_as_stated(rng):
+    items = decontaminate.Items([0, 1], ["".join(rng.choice("abcdefgh") for _ in range(20000)), "ab" * 10000])
+    tables = (items.keys, items.item, items.offset, items.first, items.count, *items.texts)
+    assert sum(t.nbytes for t in tables) <= 41 * sum(map(len, items.texts)) and items.bitmap.nbytes == 4 << 20
+
+
 def test_banded_distance_equals_table(rng):
     for _ in range(200):
         x = bytes(rng.choice(b"ab") for _ in range(12))

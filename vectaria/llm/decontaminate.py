@@ -12,9 +12,9 @@ diagonals no further than ``k`` apart. So, per text:
 3. Retained regions are verified by a banded alignment of the item window with the text; a
    text with a verified region is contaminated.
 
-The gram table of the benchmark goes to every executor; its size is the benchmark's, and is
-checked: beyond ``MOST_BYTES`` the benchmark is worked through in several parts, each a pass
-over the texts. Null and empty texts are clean; null, empty and very short items (fewer than
+The gram table of the benchmark goes to every executor, beyond ``MOST_BYTES`` in several parts.
+All parts are held at once, by the driver and by each Python worker: at most 41 bytes for each
+normalised byte of the benchmark and 4 MB for each part, so memory grows with the benchmark. Null and empty texts are clean; null, empty and very short items (fewer than
 ``MIN_ITEM`` signs) are never matched. Whole texts and items are compared.
 """
 
@@ -32,7 +32,7 @@ Q = 8
 WINDOW = 64
 EDITS = 4
 MIN_ITEM = 32
-#: Bytes of benchmark text in one broadcast table.
+#: Characters of benchmark text in one broadcast table.
 MOST_BYTES = 16 << 20
 _BITS = 22
 
@@ -200,7 +200,7 @@ def matches(b: TextBatch, items: Items) -> list[tuple[int, int, int, int]]:
 
 
 def _parts(benchmark: DataFrame, id_col: str, text_col: str) -> list[Items]:
-    """The benchmark as broadcastable parts; a part has at most MOST_BYTES of text, or one item."""
+    """The benchmark as broadcastable parts; a part has at most MOST_BYTES characters of text, or one item."""
     rows = benchmark.where(col(text_col).isNotNull()).select(col(id_col).cast("long"), col(text_col)).orderBy(*benchmark.columns)
     parts, ids, texts, size = [], [], [], 0
     for i, t in rows.toLocalIterator():
