@@ -8,20 +8,23 @@ each element is a Poisson process whose points go to random registers, so only p
 bound that falls with the set's size are ever made. Registers merge by maximum, and two sets
 agree in a register with a probability near their Jaccard similarity.
 
-Steps, all of them joins and aggregations over tables in the shared checkpoint folder:
+Steps, all of them joins and aggregations over tables in the shared folder, each dropped once
+its successors are written:
 
 1. Sets and sketches; equal sets become one class (its smallest id stands for it).
 2. Bands of ``ROWS`` registers; classes that share a band's values share a bucket. Each member
-   is paired with its bucket's pivot, the member of least hash, so a bucket of any size gives
-   as many pairs as members.
+   is paired with its bucket's pivot, the member whose id has the least hash, so a bucket of any
+   size gives as many pairs as members, and buckets of the same group have the same pivot.
 3. Pairs are dropped if the joint likelihood of their registers rules out the threshold (log
-   likelihood ratio over ``RULED_OUT``); the rest are confirmed on the full sets.
+   likelihood ratio over ``RULED_OUT``); the rest are confirmed on the full sets, which are made
+   anew for members of shared buckets alone.
 4. Components of confirmed links. In buckets that still span several components, members
    outside the bucket's largest component are compared with all others, in blocks of
-   ``BLOCK`` by ``BLOCK``: a bit of each register, the likelihood of their sketches and then an upper bound of their
-   intersection, from how their elements fall into cells, rule pairs out; the few that are left
-   are confirmed as before. So no link between bucket members goes lost, and nothing grows with
-   the square of a group of copies that are already linked.
+   ``BLOCK`` by ``BLOCK``: a bit of each register, the likelihood of their sketches and then an
+   upper bound of their intersection, from how their elements fall into cells, rule pairs out;
+   the few that are left are confirmed as before and join components. So no link between bucket
+   members goes lost, and nothing grows with the square of a group of copies that are already
+   linked.
 
 A pair at the threshold of 0.8 shares no bucket with probability below 1e-6; links are never
 made without confirmation. Rows with a null id are left out; rows that repeat an id are the
@@ -30,14 +33,15 @@ same document, whose set is that of its row with the smallest hash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from vectaria.llm.textbatch import U64, TextBatch, annotate, col, durable, in_slices, mix
+from vectaria.functions.state import Scratch, settings
+from vectaria.llm.textbatch import U64, TextBatch, annotate, col, in_slices, mix
 
 SHINGLE = 2
 #: Links have PERCENT * union <= 100 * intersection.
@@ -54,6 +58,10 @@ BLOCK = 512
 COMPARED = 65_536
 #: Bytes of cells compared in one step.
 CELLS_COMPARED = 4 << 20
+#: Ids that are sent to all tasks at most (about 56 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+#: Rows with full sets in one Arrow batch.
+SET_ROWS = "256"
 
 
 # ---- sets and sketches
@@ -196,28 +204,32 @@ FIELDS = "n bigint, fp_a bigint, fp_b bigint, sketch binary, cells binary, eleme
 
 
 def sets(df: DataFrame, id_col: str, text_col: str, *, shingle: int, sketch: bool = True, elements: bool = False) -> DataFrame:
-    """id, size and fingerprint of each text's set, with its sketch and cells, or its elements."""
+    """id, size and fingerprint of each text's set, with its sketch, or its cells and elements."""
 
     def part(texts: pa.Array) -> list:
         b = TextBatch(texts)
         own, h = shingle_sets(b, shingle)
         n = np.bincount(own, minlength=b.n)
-        total = lambda x: np.diff(np.concatenate([np.zeros(1, U64), np.cumsum(x, dtype=U64)])[np.concatenate([[0], np.cumsum(n)])])
+        cut = np.concatenate([[0], np.cumsum(n)])
+        total = lambda x: np.diff(np.concatenate([np.zeros(1, U64), np.cumsum(x, dtype=U64)])[cut])
+        each = lambda f: pa.array([f(h[i:j]) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())
         out = [pa.array(n), pa.array(total(mix(h)).view(np.int64)), pa.array(total(mix(h ^ U64(0x5851F42D4C957F2D))).view(np.int64))]
         out.append(pa.array([r.tobytes() for r in sketches(own, h, b.n, REGISTERS)], pa.binary()) if sketch else pa.nulls(b.n, pa.binary()))
-        cut = np.concatenate([[0], np.cumsum(n)])
-        out.append(pa.array([cells_of(h[i:j]) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary()) if sketch else pa.nulls(b.n, pa.binary()))
-        out.append(pa.array([h[i:j].tobytes() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary()) if elements else pa.nulls(b.n, pa.binary()))
-        return out
+        return [*out, *([each(cells_of), each(np.ndarray.tobytes)] if elements else [pa.nulls(b.n, pa.binary())] * 2)]
 
     source = df.where(col(id_col).isNotNull()).select(col(id_col).alias("id"), col(text_col).alias("text"))
-    fields = ["n", "fp_a", "fp_b", *(["sketch", "cells"] if sketch else []), *(["elements"] if elements else [])]
+    fields = ["n", "fp_a", "fp_b", *(["sketch"] if sketch else []), *(["cells", "elements"] if elements else [])]
     return annotate(source, "text", "s", FIELDS, lambda t: in_slices(t, part), ["id"]).select("id", *[F.col(f"s.{f}") for f in fields])
 
 
 # ---- links
 
 
+def _binary(column: pa.Array, kind: type) -> np.ndarray:
+    """Rows of binary values of one length, as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
 def _likely(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that the joint likelihood of their sketches (ka, kb) and sizes (na, nb) doesn't rule out."""
 
@@ -225,20 +237,15 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in (2, 3)]
             na, nb = (np.asarray(batch.column(c)).astype(float) for c in (4, 5))
-            keep = log_likelihood_ratio(*compared(*k), na, nb, percent / 100) <= RULED_OUT
+            keep = log_likelihood_ratio(*compared(*(_binary(batch.column(c), np.uint16) for c in (2, 3))), na, nb, percent / 100) <= RULED_OUT
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
     return pairs.select("a", "b", "ka", "kb", "na", "nb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, repeated: bool) -> DataFrame:
-    """Pairs whose full sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    text = docs.join(wanted, "id", "left_semi")
-    full = sets(text, "id", "text", shingle=shingle, sketch=False, elements=True).select("id", "n", "fp_a", "fp_b", "elements")
-    full = _one_row_each(full) if repeated else full
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets are similar enough; ``full`` has the elements of each id."""
     a, b = (full.select(F.col("id").alias(x), F.col("elements").alias(f"e{x}")) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,27 +269,37 @@ def _one_row_each(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.min_by(F.struct(*rest), F.struct("fp_a", "fp_b", "n")).alias("r")).select("id", *[F.col(f"r.{c}") for c in rest])
 
 
+def among(rows: DataFrame, ids: DataFrame, n: int, how: str = "left_semi") -> DataFrame:
+    """``rows`` whose id is (or isn't) one of ``n`` ids; few ids go to all tasks, so rows aren't shuffled."""
+    return rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", how)
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, component) of all ids of ``nodes``: the smallest id reachable over ``links`` (a, b).
+    """(id, component) of all ids of ``nodes``: the smallest id reachable over ``links`` (a, b)."""
+    return nodes.join(_stars(links, Scratch(nodes.sparkSession, "components"), "stars"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def _stars(links: DataFrame, tables: Scratch, name: str) -> DataFrame:
+    """(id, component) of all ids of ``links`` but each component's smallest: the smallest id reachable.
 
-    Alternates large-star and small-star steps on tables of links, each written to the shared
-    checkpoint folder, until they no longer change.
+    Alternates large-star and small-star steps, each written as a table, until they no longer
+    change it.
     """
-    edges = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    edges = tables.write(name, links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     mark = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select("u", F.col("m").alias("v")).union(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = durable(small)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        seen = Observation()
+        edges = tables.write(name, small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")))
+        now = (seen.get["n"], seen.get["h"])
         if mark == now:
-            break
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         mark = now
-    return nodes.join(edges.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").select("id", F.coalesce("c", "id").alias("component"))
 
 
 def _least_equal(registers: int, percent: int) -> int:
@@ -302,69 +319,107 @@ def _bits(k: np.ndarray) -> np.ndarray:
     return out.view(U64)
 
 
-def _rest_pairs(members: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
+def _block_pairs(x: slice, y: slice, t: dict[str, np.ndarray], percent: int, least: int, most_unlike: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pairs of a block's left and right rows that no bound rules out."""
+    band = int(t["band"][x.start])
+    kx, ky, bx, by = t["sketch"][x], t["sketch"][y], t["bits"][x], t["bits"][y]
+    ix, iy, cx, cy, nx, ny, main = t["id"][x], t["id"][y], t["component"][x], t["component"][y], t["n"][x], t["n"][y], t["main"][y]
+    found = []
+    for k in range(0, len(ix), step := max(1, COMPARED // len(iy))):
+        own = slice(k, k + step)
+        # of two members outside the main component, the smaller id takes the pair up
+        go = (cy[None] != cx[own, None]) & ((cy == main)[None] | (iy[None] > ix[own, None]))
+        go &= 100 * np.minimum(ny[None], nx[own, None]) >= percent * np.maximum(ny[None], nx[own, None])
+        if not go.any():
+            continue
+        row, at = np.nonzero(go)
+        row += k
+        ok = np.bitwise_count(bx[row] ^ by[at]).sum(1, dtype=np.uint16) <= most_unlike
+        row, at = row[ok], at[ok]
+        equal = kx[row] == ky[at]
+        # a pair is taken up in the first band that it shares
+        ok = (equal.sum(1) >= least) & ~equal[:, : band * ROWS].reshape(len(row), band, ROWS).all(2).any(1)
+        row, at = row[ok], at[ok]
+        if len(row):
+            ok = log_likelihood_ratio(*compared(kx[row], ky[at]), nx[row].astype(float), ny[at].astype(float), percent / 100) <= RULED_OUT
+            found.append((row[ok], at[ok]))
+    row, at = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    if len(row):
+        # the pairs of each smaller number of cells together
+        sx, sy = (np.array([2 * len(c) for c in t["cells"][s]]) for s in (x, y))
+        size, keep = np.minimum(sx[row], sy[at]), np.zeros(len(row), bool)
+        for c in np.unique(size).tolist():
+            own = np.flatnonzero(size == c)
+            rx, vx = np.unique(row[own], return_inverse=True)
+            ry, vy = np.unique(at[own], return_inverse=True)
+            ux, uy = unpacked([t["cells"][x.start + k] for k in rx], c), unpacked([t["cells"][y.start + k] for k in ry], c)
+            for k in range(0, len(own), step := max(1, CELLS_COMPARED // c)):
+                part = own[k : k + step]
+                both = at_most_shared(ux[vx[k : k + step]], uy[vy[k : k + step]])
+                keep[part] = (100 + percent) * both >= percent * (nx[row[part]] + ny[at[part]])
+        row, at = row[keep], at[keep]
+    return ix[row], iy[at]
+
+
+def _rest_pairs(members: DataFrame, slim: Callable[[DataFrame], DataFrame], percent: int, tables: Scratch) -> DataFrame:
     """Pairs across components within buckets, of (bucket, band, id, component) rows, that no bound rules out.
 
     Members outside their bucket's largest component meet all members, in blocks; a pair is
-    taken up in the first band that it shares. ``slim`` has each id's n, sketch and cells,
-    which join once the blocks are dealt.
+    taken up in the first band that it shares. ``slim`` gives n, sketch and cells of the ids of
+    its argument, which join once the blocks are dealt.
     """
     sizes = members.groupBy("bucket", "component").count()
     wide = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("total"), F.max(F.struct("count", "component")).alias("most"))
     wide = wide.where("parts > 1").select("bucket", F.col("most.component").alias("main"), (F.col("total") - F.col("most.count")).alias("outside"), "total")
-    rows = durable(members.join(wide, "bucket"))
+    rows = tables.write("rows", members.join(wide, "bucket"))
     block = lambda n: F.ceil(F.col(n) / F.lit(float(BLOCK))).cast("int")
     spot = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), block(n)).cast("int")
     left = rows.where("component != main").withColumn("i", spot(1, "outside")).withColumn("j", F.explode(F.sequence(F.lit(0), block("total") - 1)))
     right = rows.withColumn("j", spot(2, "total")).withColumn("i", F.explode(F.sequence(F.lit(0), block("outside") - 1)))
-    fields = ["bucket", "i", "j", "band", "id", "component", "main", "n", "sketch", "cells"]
-    full = lambda side: side.join(slim, "id").select(*[F.col(f).alias(f) for f in fields]).groupBy("bucket", "i", "j")
+    key = ["bucket", "i", "j", "side"]
+    dealt = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))).select(*key, "id", "component", "main", "band")
+    dealt = dealt.join(slim(rows), "id").select(*key, "id", "component", "main", "band", "n", "sketch", "cells")
     least = _least_equal(REGISTERS, percent)
     # a bit of an unequal register differs half the time; six deviations are allowed
     p = (1 - percent / 100) / 2
     most_unlike = int(REGISTERS * p + 6 * (REGISTERS * p * (1 - p)) ** 0.5) + 1
 
-    def run(key, x, y):
-        import pandas as pd
-
+    def blocks(rows: pa.Table) -> pa.RecordBatch:
+        at = [np.asarray(rows.column(c).combine_chunks()) for c in range(8)]
+        t = dict(zip(("id", "component", "main", "band", "n"), [*at[4:], np.asarray(rows.column(8).combine_chunks())], strict=True))
+        t |= {"sketch": _binary(rows.column(9).combine_chunks(), np.uint16), "cells": rows.column(10).to_pylist()}
+        t["bits"] = _bits(t["sketch"])
+        same = (at[0][1:] == at[0][:-1]) & (at[1][1:] == at[1][:-1]) & (at[2][1:] == at[2][:-1])
+        cuts = [0, *(np.flatnonzero(~same) + 1).tolist(), len(at[0])]
+        # left rows come first in a block
+        turns = np.concatenate([[0], np.cumsum(at[3] == 0)])
         found = []
-        if len(x) and len(y):
-            band = int(x["band"].iloc[0])
-            kx, ky = (np.frombuffer(b"".join(t["sketch"]), np.uint16).reshape(len(t), -1) for t in (x, y))
-            bx, by = _bits(kx), _bits(ky)
-            ix, iy, cx, cy, nx, ny, main = (t[c].to_numpy() for t, c in ((x, "id"), (y, "id"), (x, "component"), (y, "component"), (x, "n"), (y, "n"), (y, "main")))
-            for k in range(0, len(x), step := max(1, COMPARED // len(y))):
-                own = slice(k, k + step)
-                # of two members outside the main component, the smaller id takes the pair up
-                go = (cy[None] != cx[own, None]) & ((cy == main)[None] | (iy[None] > ix[own, None]))
-                go &= 100 * np.minimum(ny[None], nx[own, None]) >= percent * np.maximum(ny[None], nx[own, None])
-                go &= np.bitwise_count(bx[own, None] ^ by[None]).sum(2, dtype=np.uint16) <= most_unlike
-                row, at = np.nonzero(go)
-                row += k
-                equal = kx[row] == ky[at]
-                ok = (equal.sum(1) >= least) & ~equal[:, : band * ROWS].reshape(len(row), band, ROWS).all(2).any(1)
-                row, at = row[ok], at[ok]
-                ok = log_likelihood_ratio(*compared(kx[row], ky[at]), nx[row].astype(float), ny[at].astype(float), percent / 100) <= RULED_OUT
-                found.append((row[ok], at[ok]))
-            row, at = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-            # the pairs of each smaller number of cells together
-            sx, sy = (np.array([2 * len(c) for c in t["cells"]]) for t in (x, y))
-            size, keep = np.minimum(sx[row], sy[at]), np.zeros(len(row), bool)
-            for c in np.unique(size).tolist():
-                own = np.flatnonzero(size == c)
-                rx, vx = np.unique(row[own], return_inverse=True)
-                ry, vy = np.unique(at[own], return_inverse=True)
-                ux, uy = unpacked([x["cells"].iloc[k] for k in rx], c), unpacked([y["cells"].iloc[k] for k in ry], c)
-                for k in range(0, len(own), step := max(1, CELLS_COMPARED // c)):
-                    part = own[k : k + step]
-                    both = at_most_shared(ux[vx[k : k + step]], uy[vy[k : k + step]])
-                    keep[part] = (100 + percent) * both >= percent * (nx[row[part]] + ny[at[part]])
-            found = [(ix[row[keep]], iy[at[keep]])]
-        a, b = found[0] if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return pd.DataFrame({"a": a.astype(np.int64), "b": b.astype(np.int64)})
-
-    pairs = full(left).cogroup(full(right)).applyInPandas(run, "a bigint, b bigint")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            mid = a + int(turns[z] - turns[a])
+            if a < mid < z:
+                found.append(_block_pairs(slice(a, mid), slice(mid, z), t, percent, least, most_unlike))
+        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []  # rows of the last block so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = [batch.column(c)[batch.num_rows - 1].as_py() for c in range(3)]
+            of_last = np.logical_and.reduce([np.asarray(batch.column(c)) == v for c, v in enumerate(last)])
+            at = int(of_last.argmax())
+            if at:
+                yield blocks(pa.Table.from_batches([*kept, batch.slice(0, at)]))
+                kept = []
+            elif kept and any(kept[0].column(c)[0].as_py() != v for c, v in enumerate(last)):
+                yield blocks(pa.Table.from_batches(kept))
+                kept = []
+            kept.append(batch.slice(at))
+        if kept:
+            yield blocks(pa.Table.from_batches(kept))
+
+    return dealt.repartition("bucket", "i", "j").sortWithinPartitions(*key).mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -372,36 +427,63 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Ids must be integers. Other columns are neither read nor returned.
     """
+    spark = docs.sparkSession
+    tables = Scratch(spark, "near-duplicates")
     docs = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text")).where(F.col("id").isNotNull())
-    every = durable(sets(docs, "id", "text", shingle=shingle))
+    every = tables.write("every", sets(docs, "id", "text", shingle=shingle))
     # tables with unique ids need no shuffle of their sketches
     repeated = not every.groupBy("id").count().where("count > 1").isEmpty()
-    every = durable(_one_row_each(every)) if repeated else every
-    filled = every.where("n > 0")
-    classes = filled.groupBy("fp_a", "fp_b", "n").agg(F.min("id").alias("rep"))
-    of = durable(filled.select("id", "fp_a", "fp_b", "n").join(classes, ["fp_a", "fp_b", "n"]).select("id", "rep"))
-    reps = every.join(of.where("id = rep").select("id"), "id")
+    every = tables.write("every", _one_row_each(every)) if repeated else every
+
+    # equal sets are one class; the ids of all but its smallest meet nothing
+    keys = ["fp_a", "fp_b", "n"]
+    classes = tables.write("classes", every.where("n > 0").groupBy(*keys).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select(*keys, "rep"))
+    copies = tables.write("copies", every.select("id", *keys).join(classes, keys).where("id != rep").select("id"))
+    reps = among(every.where("n > 0"), copies, copies.count(), "left_anti")
 
     # buckets with more than one class
     banded = reps.select("id", F.posexplode(band_buckets("sketch")).alias("band", "bucket"))
-    order = F.struct(F.xxhash64("id", "bucket"), "id")
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min(order).alias("pivot")).where("members > 1").select("bucket", F.col("pivot.id").alias("pivot"))
-    multi = durable(banded.join(shared, "bucket"))
-    slim = reps.select("id", "n", "sketch", "cells")
-
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("id"), "id")).alias("pivot"))
+    shared = tables.write("shared", shared.where("members > 1").select("bucket", F.col("pivot.id").alias("pivot")))
+    multi = tables.write("multi", banded.join(shared, "bucket"))
+    tables.drop("shared")
+    met = tables.write("met", multi.select("id").distinct())
+    n_met = met.count()
+    near = tables.write("near", among(every, met, n_met).select("id", "n", "sketch"))
+
+    full = sets(among(docs, met, n_met), "id", "text", shingle=shingle, sketch=False, elements=True)
+    full = tables.write("full", (_one_row_each(full) if repeated else full).select("id", "cells", "elements"))
     pairs = multi.where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    side = lambda x: slim.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
-    likely = durable(_likely(pairs.join(side("a"), "a").join(side("b"), "b"), percent))
-    links = durable(_confirmed(likely, docs, shingle, percent, repeated))
-
-    grouped = durable(components(multi.select("id").distinct(), links))
-    members = multi.select("bucket", "band", "id").join(grouped, "id")
-    rest = durable(_rest_pairs(members, slim, percent).distinct())
-    more = _confirmed(rest.join(likely, ["a", "b"], "left_anti"), docs, shingle, percent, repeated)
-    links = durable(links.union(more))
-
-    final = components(of.select(F.col("rep").alias("id")).distinct(), links).withColumnRenamed("id", "rep")
-    r = every.select("id", "n").join(of.join(final, "rep"), "id", "left")
+    side = lambda x: near.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
+    likely = tables.write("likely", _likely(pairs.join(side("a"), "a").join(side("b"), "b"), percent))
+    with settings(spark, **{"spark.sql.execution.arrow.maxRecordsPerBatch": SET_ROWS}):
+        links = tables.write("links", _confirmed(likely, full, percent))
+    first = _stars(links, tables, "first")
+
+    members = multi.select("bucket", "band", "id").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    slim = lambda rows: near.join(full.select("id", "cells"), "id").join(rows.select("id").distinct(), "id", "left_semi")
+    rest = tables.write("rest", _rest_pairs(members, slim, percent, tables).distinct())
+    tables.drop("rows", "near", "multi", "met")
+    with settings(spark, **{"spark.sql.execution.arrow.maxRecordsPerBatch": SET_ROWS}):
+        more = tables.write("more", _confirmed(rest.join(likely, ["a", "b"], "left_anti"), full, percent))
+    tables.drop("full", "rest", "likely", "links")
+
+    # links found last join whole components
+    if not more.isEmpty():
+        of = lambda x: first.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+        joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        then = _stars(joined, tables, "then").select(F.col("id").alias("component"), F.col("component").alias("least"))
+        ids = first.unionByName(joined.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("component")))
+        first = tables.write("final", ids.join(then, "component", "left").select("id", F.coalesce("least", "component").alias("component")).where("id != component").distinct())
+        tables.drop("first", "then")
+    tables.drop("more")
+
+    # documents that aren't the least of their component: by class, as copies have no row of their own
+    of_class = every.select("id", *keys).join(first, "id")
+    moved = of_class.select(*keys, "component").unionByName(classes.join(of_class.select(*keys), keys, "left_anti").withColumnRenamed("rep", "component"))
+    moved = tables.write("moved", moved)
+    tables.drop("classes", "copies", "first", "final")
+    r = every.select("id", *keys).join(moved, keys, "left")
     component = F.coalesce("component", F.col("id"))
     return r.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
