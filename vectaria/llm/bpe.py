@@ -20,6 +20,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count as count_up
 
 import numpy as np
 import public_tokenizers
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from vectaria.llm.pretokens import pretokens
-from vectaria.llm.textbatch import TextBatch, annotate, slices
+from vectaria.llm.textbatch import SpanHash, TextBatch, annotate, same_bytes, slices
 
 #: Bytes of text whose distinct pre-tokens share one queue.
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 8 << 20
 NONE = np.int32(2**31 - 1)
 
 
@@ -204,27 +205,45 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total[-1]) + np.repeat(start - (total - size), size)
 
 
-def encode_group(texts: pa.Array, vocab: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, TextBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """Encodes texts with one queue; for each slice: ids, bounds of each text's ids, the slice, pre-token starts and bounds, ids of each pre-token."""
-    parts, seen, data, sizes = [], np.zeros(0, np.uint64), [], []
-    for a, z in slices(texts):
-        b = TextBatch(texts.slice(a, z - a))
-        start, stop, bounds = pretokens(b)
-        key, at, inverse = np.unique(b.hasher()(start, stop), return_index=True, return_inverse=True)
+def _distinct(slices_: list[tuple[TextBatch, np.ndarray, np.ndarray]], salt: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]] | None:
+    """Bytes and sizes of the distinct pre-tokens of several slices, and which of them each pre-token is.
+
+    Pre-tokens are told apart by hashes, then compared byte by byte with the one they are taken
+    for (those of up to seven bytes have hashes of their own). None if two differ after all.
+    """
+    seen, data, sizes, keys = np.zeros(0, np.uint64), [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], []
+    hashers = [b.hasher(salt=salt) for b, _, _ in slices_]
+    for (b, start, stop), hashed in zip(slices_, hashers, strict=True):
+        key, at, inverse = np.unique(hashed(start, stop), return_index=True, return_inverse=True)
         new = ~np.isin(key, seen, assume_unique=True)
         seen = np.concatenate([seen, key[new]])
         size = (stop - start)[at[new]]
         data.append(b.data[spread(start[at[new]], size)])
         sizes.append(size)
-        parts.append((b, start, bounds, key, inverse.astype(np.int32)))
+        keys.append((key, inverse.astype(np.int32)))
+    data, sizes = np.concatenate(data), np.concatenate(sizes)
+    first, every = np.cumsum(sizes) - sizes, SpanHash(data)
+    order, rows = np.argsort(seen), []
+    for (_, start, stop), hashed, (key, inverse) in zip(slices_, hashers, keys, strict=True):
+        row = order[np.searchsorted(seen, key, sorter=order)][inverse].astype(np.int32) if len(key) else np.zeros(0, np.int32)
+        long = np.flatnonzero((stop - start > 7) | (sizes[row] > 7))
+        own = row[long]
+        if not same_bytes(hashed, start[long], stop[long], every, first[own], first[own] + sizes[own]).all():
+            return None
+        rows.append(row)
+    return data, sizes, rows
+
+
+def encode_group(texts: pa.Array, vocab: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, TextBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Encodes texts with one queue; for each slice: ids, bounds of each text's ids, the slice, pre-token starts and bounds, ids of each pre-token."""
+    parts = [(b, *pretokens(b)) for b in (TextBatch(texts.slice(a, z - a)) for a, z in slices(texts))]
     if not parts:
         return
-    ids, count = encode_spans(np.concatenate(data), np.concatenate(sizes), vocab)
+    # another hash function, should two pre-tokens ever have one hash
+    data, sizes, rows = next(filter(None, (_distinct([p[:3] for p in parts], salt) for salt in count_up())))
+    ids, count = encode_spans(data, sizes, vocab)
     offset = np.cumsum(count) - count
-    order = np.argsort(seen)
-    for b, start, bounds, key, inverse in parts:
-        row = order[np.searchsorted(seen, key, sorter=order)] if len(key) else np.zeros(0, np.int64)
-        row = row[inverse]
+    for (b, start, _, bounds), row in zip(parts, rows, strict=True):
         own = count[row]
         total = np.concatenate([[0], np.cumsum(own)])
         yield ids[spread(offset[row], own)], total[bounds], b, start, bounds, own

@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vectaria.functions.kernels import on_workers
 from vectaria.llm.pretokens import LETTER, classes, code_points
-from vectaria.llm.textbatch import LOWER, TextBatch, WHITE, annotate, col, in_slices, on_workers, slices
+from vectaria.llm.textbatch import LOWER, TextBatch, WHITE, annotate, col, in_slices, slices
 
 #: Bound on the labelled texts of a language that a model is fitted on (expected number; they are hashed).
 SAMPLE = 20_000

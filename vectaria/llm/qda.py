@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectaria.llm.textbatch import TextBatch, annotate, durable, in_slices, repeats_earlier
+from vectaria.functions.state import durable
+from vectaria.llm.textbatch import TextBatch, annotate, in_slices, repeats_earlier
 
 #: Weights of the pooled covariance and of its diagonal in a class covariance.
 SHRINK = 0.5

@@ -4,58 +4,40 @@ A ``TextBatch`` lays the UTF-8 bytes of many texts in one array, each text betwe
 newline bytes, so that words and lines never run from one text into the next. Word
 separators are the ASCII white space characters 0x20 and 0x09-0x0D; a null text is empty.
 
-Hashes of arbitrary spans come from one polynomial prefix sum modulo 2**64, so a batch
-costs a few passes over its bytes whatever number of words, lines or windows is asked for.
-Spans of more than ``LONG_SPAN`` bytes, where a polynomial modulo 2**64 has known
-collisions, are hashed with BLAKE2 instead.
+Hashes of spans mix their bytes in pieces of eight, for all spans at once; spans of more than
+``LONG_SPAN`` bytes are hashed with BLAKE2. Different spans of over seven bytes have equal
+hashes with a probability of about 2**-64; where that would not do, ``same_bytes`` compares them.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Callable, Iterator
 from functools import cached_property
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectaria.functions.kernels import on_workers
+
 #: Bytes of text that one vectorised pass holds at most; a longer text is a pass of its own.
 SLICE_BYTES = 2 << 20
-LONG_SPAN = 1024
+#: Bytes of text in one batch of results, likewise.
+BATCH_BYTES = 8 << 20
+#: Longer spans are hashed with BLAKE2.
+LONG_SPAN = 512
 
 U64 = np.uint64
-_RNG = np.random.default_rng(20240601)
-_BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the hash base and of its inverse, kept between calls up to 16 MB."""
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        up, down = np.full(size, _BASE, U64), np.full(size, _BASE_INV, U64)
-        up[0] = down[0] = 1
-        np.multiply.accumulate(up, out=up)
-        np.multiply.accumulate(down, out=down)
-        if size > 2 * SLICE_BYTES:
-            return up, down
-        _powers["up"], _powers["down"] = up, down
-    return _powers["up"], _powers["down"]
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -102,8 +84,8 @@ class TextBatch:
     def word_doc(self) -> np.ndarray:
         return np.repeat(np.arange(self.n), np.diff(self.word_bounds))
 
-    def hasher(self, lower: bool = False) -> SpanHash:
-        return SpanHash(LOWER[self.data] if lower else self.data)
+    def hasher(self, lower: bool = False, salt: int = 0) -> SpanHash:
+        return SpanHash(LOWER[self.data] if lower else self.data, salt)
 
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         """Sums of a value per byte over each text."""
@@ -117,24 +99,58 @@ class TextBatch:
 
 
 class SpanHash:
-    """64-bit hashes of byte spans of one array."""
+    """64-bit hashes of byte spans of one array.
 
-    def __init__(self, data: np.ndarray):
-        self.data = data
-        up, self.down = _power(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=self.sums[1:])
+    A span is read in pieces of eight bytes, each mixed into the value of those before it by a
+    bijection, so spans of up to seven bytes never collide with each other. ``salt`` gives
+    another function.
+    """
+
+    def __init__(self, data: np.ndarray, salt: int = 0):
+        self.data, self.salt = data, U64(salt)
+        self.words = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8)
+
+    def piece(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The ``size`` bytes (8 at most) from each position on, as numbers."""
+        return self.words[at].view("<u8").ravel() & _MASK[np.minimum(size, 8)]
 
     def __call__(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         size = stop - start
-        h = (self.sums[stop] - self.sums[start]) * self.down[start]
-        h = mix(h + size.astype(U64) * U64(0xA0761D6478BD642F))
+        if not len(size):
+            return np.zeros(0, U64)
+        # a size up to seven stands in the byte that no such span fills
+        first = self.piece(start, size) | np.where(size < 8, size, 0).astype(U64) << U64(56)
+        h = mix(first ^ self.salt)
+        todo = np.flatnonzero((size >= 8) & (size <= LONG_SPAN))
+        h[todo] = mix(h[todo] + size[todo].astype(U64) * U64(0xA0761D6478BD642F))
+        done = 8
+        while len(todo := todo[size[todo] > done]):
+            h[todo] = mix((h[todo] * U64(0x9E3779B97F4A7C15)) ^ self.piece(start[todo] + done, size[todo] - done))
+            done += 8
         for k in np.flatnonzero(size > LONG_SPAN):
-            digest = hashlib.blake2b(self.data[start[k] : stop[k]].tobytes(), digest_size=8).digest()
+            digest = hashlib.blake2b(self.data[start[k] : stop[k]].tobytes(), digest_size=8, salt=int(self.salt).to_bytes(8, "little")).digest()
             h[k] = int.from_bytes(digest, "little")
         return h
 
 
+def same_bytes(a: SpanHash, start: np.ndarray, stop: np.ndarray, b: SpanHash, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For paired spans of two arrays: are their bytes the same."""
+    size = stop - start
+    same = size == end - begin
+    done, todo = 0, np.flatnonzero(same)
+    while len(todo := todo[size[todo] > done]):
+        if done >= LONG_SPAN:
+            for k in todo.tolist():
+                same[k] = np.array_equal(a.data[start[k] + done : stop[k]], b.data[begin[k] + done : end[k]])
+            break
+        left = size[todo] - done
+        ok = a.piece(start[todo] + done, left) == b.piece(begin[todo] + done, left)
+        same[todo[~ok]] = False
+        todo = todo[ok]
+        done += 8
+    return same
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (from the first byte) of a string array; nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -195,10 +211,10 @@ def annotate(df: DataFrame, text_col: str, name: str, ddl: str, compute: Callabl
     """
     on_workers(df.sparkSession)
     keep = [c for c in (df.columns if keep is None else keep) if c != name]
-    source = df.select(*[col(c) for c in keep], col(text_col).cast("string").alias("__text"))
+    source = df.select(*[col(c).alias(f"c{k}") for k, c in enumerate(keep)], col(text_col).cast("string").alias("text"))
     result = T.StructType.fromDDL(ddl) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(ddl)
     fields = [f.name for f in result.fields]
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField(name, result)])
+    schema = T.StructType([*[T.StructField(c, f.dataType) for c, f in zip(keep, source.schema.fields, strict=False)], T.StructField(name, result)])
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [to_arrow_type(f.dataType) for f in result.fields]
@@ -207,40 +223,11 @@ def annotate(df: DataFrame, text_col: str, name: str, ddl: str, compute: Callabl
         for batch in batches:
             if not batch.num_rows:
                 continue
-            text = batch.column(batch.num_columns - 1)
-            text = pc.fill_null(text, "") if text.null_count else text
-            made = [pa.array(a).cast(k) if not isinstance(a, pa.Array) else a.cast(k) for a, k in zip(compute(text), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.StructArray.from_arrays(made, names=fields)], names=[*batch.schema.names[:-1], name])
+            for a, z in slices(batch.column(batch.num_columns - 1), BATCH_BYTES):
+                part = batch.slice(a, z - a)
+                text = part.column(part.num_columns - 1)
+                text = pc.fill_null(text, "") if text.null_count else text
+                made = [pa.array(c).cast(k) if not isinstance(c, pa.Array) else c.cast(k) for c, k in zip(compute(text), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.StructArray.from_arrays(made, names=fields)], names=[*keep, name])
 
     return source.mapInArrow(run, schema)
-
-
-def on_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it.
-
-    On a cluster the package is installed on the executors or sent with --py-files; this only
-    adds the driver's folder to the workers' search path.
-    """
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one only where none is set, as in tests."""
-    set_to = spark.sparkContext.getCheckpointDir()
-    if set_to is None:
-        set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if set_to is None:
-            import tempfile
-
-            set_to = tempfile.mkdtemp(prefix="vectaria-checkpoint-")
-        spark.sparkContext.setCheckpointDir(set_to)
-    return set_to
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` written once to the shared checkpoint folder, without their lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
