@@ -1,12 +1,14 @@
 """Edit-aware token counts: a segment tree of pre-tokens for each document.
 
-The leaves of a document's tree are runs of ``LEAF`` consecutive pre-tokens with their bytes
-and their tokens; inner nodes hold sums. After an edit only the leaves that it touches, and
-those within ``CONTEXT`` bytes before it (the pattern looks at most two characters past a
-pre-token's end), are split into pre-tokens again, up to the first old leaf boundary after
-the edit at which a new pre-token ends as well; from there on the old pre-tokens hold. Their
-tokens are counted anew and the sums on the paths to the root are updated. Everything else
-keeps its counts.
+The leaves of a document's tree are runs of at most ``LEAF`` consecutive pre-tokens with their
+bytes and their tokens; inner nodes hold sums. All edits of a document are applied in one pass:
+the text is put together once, and from the leaf ``CONTEXT`` characters before an edit (the
+pattern looks at most two characters past a pre-token's end) pre-tokens are found anew, through
+all edits that lie before, up to the first old leaf boundary after an edit at which a new
+pre-token ends as well; from there on the old pre-tokens hold. The leaves of such a region are
+replaced by new ones of ``LEAF`` pre-tokens, whose tokens are counted anew, once each. Where a
+region keeps its number of leaves only the sums on their paths to the root change; otherwise
+inner sums are made anew from the leaves. Everything else keeps its counts.
 
 Edits are arrays of (start, stop, text): code points of the unedited text, end exclusive.
 Those out of range are clipped, null ones and those that overlap an edit which starts before
@@ -27,8 +29,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from vectaria.functions.kernels import on_workers
 from vectaria.llm.bpe import GROUP_BYTES, Vocabulary, encode_group, encode_spans, vocabulary
-from vectaria.llm.textbatch import TextBatch, annotate, col, in_slices, on_workers, repeats_earlier, slices
+from vectaria.llm.textbatch import TextBatch, annotate, col, in_slices, repeats_earlier, slices
 
 LEAF = 16
 CONTEXT = 12
@@ -72,16 +75,22 @@ class TokenTree:
     """Sums of bytes and tokens over leaves, in heap order."""
 
     def __init__(self, leaf_bytes: list[int], leaf_tokens: list[int]):
-        self.n = max(1, len(leaf_bytes))
-        self.base = 1 << (self.n - 1).bit_length()
-        self.sums = []
-        for leaves in (leaf_bytes, leaf_tokens):
-            s = [0] * self.base + list(leaves) + [0] * (self.base - len(leaves))
-            for k in range(self.base - 1, 0, -1):
-                s[k] = s[2 * k] + s[2 * k + 1]
-            self.sums.append(s)
-        self.pending: dict[int, list[bytes]] = {}
         self.encoded = 0
+        self.regions: list[tuple[int, int, list[bytes]]] = []
+        self._sum_up([list(leaf_bytes), list(leaf_tokens)])
+
+    def _sum_up(self, leaves: list[list[int]]) -> None:
+        self.n = len(leaves[0])
+        self.base = 1 << (max(1, self.n) - 1).bit_length()
+        self.sums = []
+        for own in leaves:
+            level = np.zeros(self.base, np.int64)
+            level[: self.n] = own
+            levels = [level]
+            while len(level) > 1:
+                level = level[::2] + level[1::2]
+                levels.append(level)
+            self.sums.append([0, *np.concatenate(levels[::-1]).tolist()])
 
     @property
     def n_bytes(self) -> int:
@@ -91,6 +100,9 @@ class TokenTree:
     def n_tokens(self) -> int:
         return self.sums[1][1]
 
+    def leaves(self, which: int) -> list[int]:
+        return self.sums[which][self.base : self.base + self.n]
+
     def put(self, which: int, leaf: int, value: int) -> None:
         s, k = self.sums[which], leaf + self.base
         more = value - s[k]
@@ -98,74 +110,87 @@ class TokenTree:
             s[k] += more
             k >>= 1
 
-    def find(self, at: int) -> tuple[int, int]:
-        """The leaf that holds byte ``at`` (the last one with bytes, if none does) and where it begins."""
-        s = self.sums[0]
-        at = max(0, min(at, s[1] - 1))
-        k, begin = 1, 0
-        while k < self.base:
-            k *= 2
-            if at - begin >= s[k]:
-                begin += s[k]
-                k += 1
-        return k - self.base, begin
-
-    def replace(self, data: bytes, start: int, stop: int, new: bytes) -> bytes:
-        """Replaces bytes of the text ``data`` and renews the touched leaves; returns the new text."""
-        first, begin = self.find(start - CONTEXT)
-        after, size = start + len(new) - stop, len(data)
-        edited = data[:start] + new + data[stop:]
-        last, at = self.find(stop)
-        ends = []  # old leaf boundaries after the edit, as (leaf, boundary)
-        window = 0
-        while True:
-            window = 2 * window + 4
-            while len(ends) < window and last < self.n and at < size:
-                at += self.sums[0][last + self.base]
-                if at >= stop:
-                    ends.append((last, at))
-                last += 1
-            reach = ends[-1][1] if ends else size
-            whole = reach >= size
-            tokens = [t.encode() for t in _pattern.findall(edited[begin : reach + after].decode())]
-            cuts = {0: 0}
-            total = 0
-            for k, t in enumerate(tokens, 1):
-                total += len(t)
-                cuts[total] = k
-            for leaf, boundary in ends:
-                k = cuts.get(boundary + after - begin)
-                if k is not None and (boundary >= size or boundary + CONTEXT <= reach or whole and boundary + CONTEXT <= size):
+    def edit(self, data: bytes, edits: list[tuple[int, int, bytes]]) -> bytes:
+        """Applies edits (sorted, disjoint byte ranges) to the text ``data``; returns the new text.
+
+        Sets ``regions``: first and last (exclusive) old leaf, and the pre-tokens that replace them.
+        """
+        self.regions = []
+        if not edits:
+            return data
+        text, ends = data.decode(), np.concatenate([[0], np.cumsum(np.array(self.leaves(0), np.int64))])
+        todo = [(a, z, new.decode()) for a, z, new in edits]
+        if len(text) != len(data):
+            lead = np.append(np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80), len(data))
+            ends = np.searchsorted(lead, ends)
+            todo = [(int(np.searchsorted(lead, a)), int(np.searchsorted(lead, z)), new) for a, z, new in todo]
+        pieces, at = [], 0
+        for a, z, new in todo:
+            pieces += [text[at:a], new]
+            at = z
+        edited = "".join([*pieces, text[at:]])
+        # the leaf from which pre-tokens may change with each edit, and where it begins
+        leaf = np.clip(np.searchsorted(ends, [a - CONTEXT for a, _, _ in todo], "right") - 1, 0, max(self.n - 1, 0)).tolist()
+        ends = ends.tolist()
+        begin = [ends[k] for k in leaf]
+        boundary = {e: k for k, e in enumerate(ends)}
+        k = shift = 0
+        while k < len(todo):
+            first, start = leaf[k], begin[k] + shift
+            a, z, new = todo[k]
+            shift += len(new) - (z - a)
+            past, k, last = z + shift, k + 1, self.n
+            tokens = []
+            for m in _pattern.finditer(edited, start):
+                tokens.append(m[0].encode())
+                end = m.end()
+                # edits whose first leaf begins before here belong to this region
+                while end >= past and k < len(todo) and begin[k] < end - shift:
+                    a, z, new = todo[k]
+                    shift += len(new) - (z - a)
+                    past, k = z + shift, k + 1
+                if end >= past and (at := boundary.get(end - shift)) is not None:
+                    last = at
                     break
             else:
-                if not whole:
-                    continue
-                leaf, k = self.n - 1, len(tokens)
-            break
-        self.pending[first] = tokens[:k]
-        self.put(0, first, sum(map(len, tokens[:k])))
-        for other in range(first + 1, leaf + 1):
-            self.put(0, other, 0)
-            self.put(1, other, 0)
-            self.pending.pop(other, None)
-        return edited
+                # the new text ends here; what edits are left only removed text
+                k = len(todo)
+            self.regions.append((first, last, tokens))
+        return edited.encode()
+
+    def renew(self, count: dict[bytes, int]) -> None:
+        """Puts the regions' new leaves in place, with the tokens that ``count`` has for each pre-token."""
+        made = []
+        for first, last, tokens in self.regions:
+            runs = [tokens[k : k + LEAF] for k in range(0, len(tokens), LEAF)]
+            made.append((first, last, [sum(map(len, r)) for r in runs], [sum(map(count.__getitem__, r)) for r in runs]))
+            self.encoded += sum(map(len, tokens))
+        self.regions = []
+        if all(last - first == len(size) for first, last, size, _ in made):
+            for first, _, *new in made:
+                for which in (0, 1):
+                    for k, value in enumerate(new[which]):
+                        self.put(which, first + k, value)
+            return
+        leaves = []
+        for which in (0, 1):
+            old, at, parts = self.leaves(which), 0, []
+            for first, last, *new in made:
+                parts += old[at:first]
+                parts += new[which]
+                at = last
+            leaves.append(parts + old[at:])
+        self._sum_up(leaves)
 
 
 def apply_edits(rows: list[tuple[TokenTree, bytes, list[tuple[int, int, bytes]]]], vocab: Vocabulary) -> list[bytes]:
     """Edits (byte ranges of the unedited text, sorted, disjoint) of several documents; counts renewed in one go."""
-    out = []
-    for tree, data, edits in rows:
-        for start, stop, new in reversed(edits):
-            data = tree.replace(data, start, stop, new)
-        out.append(data)
-    parts = [t for tree, _, _ in rows for tokens in tree.pending.values() for t in tokens]
-    distinct = {t: k for k, t in enumerate(dict.fromkeys(parts))}
+    out = [tree.edit(data, edits) for tree, data, edits in rows]
+    distinct = list({t: None for tree, _, _ in rows for _, _, tokens in tree.regions for t in tokens})
     _, count = encode_spans(np.frombuffer(b"".join(distinct), np.uint8), np.array([len(t) for t in distinct], np.int64), vocab)
+    counted = dict(zip(distinct, count.tolist(), strict=True))
     for tree, _, _ in rows:
-        for leaf, tokens in tree.pending.items():
-            tree.put(1, leaf, int(sum(count[distinct[t]] for t in tokens)))
-            tree.encoded += sum(map(len, tokens))
-        tree.pending = {}
+        tree.renew(counted)
     return out
 
 
@@ -193,10 +218,11 @@ def recount(
     """
     on_workers(df.sparkSession)
     keep = [c for c in (df.columns if keep is None else keep) if c != name]
-    more = [col(c).alias(a) for c, a in ((edits if isinstance(edits, str) else None, "__edits"), (tree_col, "__tree")) if c]
-    source = df.select(*[col(c) for c in keep], col(text_col).cast("string").alias("__text"), *more)
+    more = [col(c).alias(a) for c, a in ((edits if isinstance(edits, str) else None, "edits"), (tree_col, "tree")) if c]
+    # columns are named by position here, so that none clashes
+    source = df.select(*[col(c).alias(f"c{k}") for k, c in enumerate(keep)], col(text_col).cast("string").alias("text"), *more)
     ddl = "n_before bigint, n_tokens bigint, n_edits bigint, encoded_bytes bigint, leaf_bytes array<int>, leaf_tokens array<int>"
-    schema = T.StructType([*source.schema.fields[: len(keep)], T.StructField(name, T.StructType.fromDDL(ddl))])
+    schema = T.StructType([*[T.StructField(c, f.dataType) for c, f in zip(keep, source.schema.fields, strict=False)], T.StructField(name, T.StructType.fromDDL(ddl))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(ranks)
@@ -204,8 +230,8 @@ def recount(
             for a, z in slices(batch.column(len(keep)), GROUP_BYTES):
                 part = batch.slice(a, z - a)
                 text = pc.fill_null(part.column(len(keep)), "")
-                todo = part.column("__edits") if isinstance(edits, str) else edits(text)
-                tree = [part.column("__tree").field(c) for c in ("n_tokens", "leaf_bytes", "leaf_tokens")] if tree_col else _trees(text, vocab)
+                todo = part.column(len(keep) + 1) if isinstance(edits, str) else edits(text)
+                tree = [part.column(part.num_columns - 1).field(c) for c in ("n_tokens", "leaf_bytes", "leaf_tokens")] if tree_col else _trees(text, vocab)
                 made = _edited(text, tree, todo, vocab)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.StructArray.from_arrays(made, names=["n_before", "n_tokens", "n_edits", "encoded_bytes", "leaf_bytes", "leaf_tokens"])], names=[*keep, name])
 
@@ -227,7 +253,7 @@ def _edited(text: pa.Array, tree: list[pa.Array], edits: pa.Array, vocab: Vocabu
     leaves = []
     for c in (0, 1):
         # unedited trees stay as they are; only edited ones are replaced
-        new = pa.array([own.sums[c][own.base : own.base + own.n] for own, _, _ in rows], pa.list_(pa.int32()))
+        new = pa.array([own.leaves(c) for own, _, _ in rows], pa.list_(pa.int32()))
         take = np.arange(len(text))
         take[has] = len(text) + np.arange(len(has))
         leaves.append(pa.concat_arrays([tree[1 + c].cast(pa.list_(pa.int32())), new]).take(pa.array(take)))
