@@ -70,6 +70,50 @@ def test_small_blocks_give_the_same(spark, copies, monkeypatch):
     assert rows(setsketch.near_duplicates(df)) == brute(copies)
 
 
+def test_batches_that_cut_blocks_and_shuffled_ids_give_the_same(spark, copies, monkeypatch):
+    monkeypatch.setattr(setsketch, "BROADCAST_IDS", -1)
+    monkeypatch.setattr(setsketch, "BLOCK", 32)
+    monkeypatch.setattr(setsketch, "SET_ROWS", "3")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert rows(setsketch.near_duplicates(spark.createDataFrame(copies, "doc_id bigint, text string"))) == brute(copies)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_similarities_round_the_threshold(spark):
+    r = np.random.default_rng(11)
+    texts = []
+    for k in range(150):
+        n = int(r.integers(30, 200))
+        base = [f"x{k}_{j}" for j in range(n)]
+        # m new last words: (n - 1 - m) / (n - 1 + m) of 2-word shingles
+        m = max(1, round((n - 1) * (1 - (s := 0.78 + 0.04 * r.random())) / (1 + s)))
+        texts += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: n - m] + [f"y{k}_{j}" for j in range(m)]))]
+    got = rows(setsketch.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string")))
+    want = brute(texts)
+    assert got == want and 30 < sum(not v[2] for v in want.values()) < 120
+
+
+def thue_morse(size, letters):
+    """Two words that polynomials modulo a power of two can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(size)]
+    return ["".join(letters[b ^ flip] for b in bits) for flip in (0, 1)]
+
+
+@pytest.mark.parametrize("size", [8, 256, 512, 1024, 2048, 4096])
+@pytest.mark.parametrize("letters", ["ab", "Md", "aé"])
+def test_words_that_simple_hashes_confuse(size, letters):
+    words = pa.array(thue_morse(size, letters))
+    b = TextBatch(words)
+    one, two = b.hasher()(b.beg, b.end)
+    assert one != two
+    own, h = setsketch.shingle_sets(b, 2)
+    assert own.tolist() == [0, 1] and h[0] != h[1]
+    both = pa.array(["\n".join([*words.to_pylist(), words[0].as_py()])])
+    assert repetition._slice(both, 6, 45, 120)[3].tolist() == [1]
+
+
 def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "A b\tc"), (3, None), (4, "")], "doc_id bigint, text string")
     assert rows(setsketch.near_duplicates(df)) == {1: (2, 1, True), 2: (2, 1, False), 3: (0, 3, True), 4: (0, 4, True)}
@@ -86,6 +130,16 @@ def test_sketches_merge_and_estimate():
     assert (setsketch.sketches(np.zeros(0, int), np.zeros(0, np.uint64), 2, 8) == 0).all()
 
 
+def test_tables_leave_little_behind(spark, copies):
+    import glob
+
+    base = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(glob.glob(f"{base}/near-duplicates-*/*"))
+    setsketch.near_duplicates(spark.createDataFrame(copies, "doc_id bigint, text string")).count()
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{base}/near-duplicates-*/*")) - before}
+    assert left == {"every", "moved"}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (7, 9), (20, 21)], "a bigint, b bigint")
     nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 7, 8, 9, 20, 21, 30)], "id bigint")
@@ -126,6 +180,21 @@ def test_sql(spark, name):
     assert sorted(map(repr, map(tuple, mine.collect()))) == sorted(map(repr, theirs.fetchall()))
 
 
+def test_pipeline_on_tables_of_any_kind(spark, docs, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    good = " ".join(f"word{i} stands here" for i in range(40))
+    extra = docs.selectExpr("doc_id", "text", "lang", "source", "'x' AS bpe", "1 AS `a.b`")
+    rows = spark.createDataFrame([(None, good), (100, good), (101, good.upper()), (102, good + " mail me@mail.org"), (100, good)], "doc_id bigint, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "'x' AS bpe", "1 AS `a.b`")
+    for name, table in (("empty", extra.limit(0)), ("odd", extra.union(rows))):
+        d = str(tmp_path / name)
+        table.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, None)], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+        out = pipeline.run(spark, d)
+        assert out.columns == [*table.columns, "n_tokens", "ids", "round_trip"]
+        got = out.collect()
+        assert sorted(str(r.doc_id) for r in got) == ([] if name == "empty" else ["100", "100", "None"]) and all(r.round_trip and r.bpe == "x" for r in got)
+
+
 def test_pipeline_against_its_parts(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
