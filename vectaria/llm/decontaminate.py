@@ -202,7 +202,7 @@ class _Hits:
         self.at, self.k = at[good], k[good]
         self.reach = int((items.window + 2 * items.edits).max(initial=0))
         # a stretch needs as many hits, over all items, as the smallest bound
-        least = int(items.least.min(initial=1))
+        least = int(items.least.min()) if len(items.least) else 1
         near = np.zeros(len(self.at), bool)
         if len(self.at) >= least:
             ok = np.flatnonzero(self.at[least - 1 :] - self.at[: len(self.at) - least + 1] < self.reach)
