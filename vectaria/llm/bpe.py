@@ -31,7 +31,7 @@ from vectaria.llm.pretokens import pretokens
 from vectaria.llm.textbatch import SpanHash, TextBatch, annotate, same_bytes, slices
 
 #: Bytes of text whose distinct pre-tokens share one queue.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 NONE = np.int32(2**31 - 1)
 
 

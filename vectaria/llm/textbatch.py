@@ -25,9 +25,11 @@ from pyspark.sql import types as T
 from vectaria.functions.kernels import on_workers
 
 #: Bytes of text that one vectorised pass holds at most; a longer text is a pass of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes of text in one batch of results, likewise.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+#: Rows of an Arrow batch in a session that has Spark's default of 10,000: texts may be long.
+BATCH_ROWS = "2000"
 #: Longer spans are hashed with BLAKE2.
 LONG_SPAN = 512
 
@@ -207,9 +209,13 @@ def annotate(df: DataFrame, text_col: str, name: str, ddl: str, compute: Callabl
     ``keep`` lists the input columns to return (default: all). As with withColumn, a column
     called ``name`` is replaced. Rows, their order within a partition and repeated ids stay as
     they are; there is no shuffle. ``compute`` takes a string array (null: empty text) and
-    returns one array per field of ``ddl``.
+    returns one array per field of ``ddl``. A session with Spark's default size of Arrow batches
+    gets BATCH_ROWS instead.
     """
     on_workers(df.sparkSession)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(rows) == "10000":
+        df.sparkSession.conf.set(rows, BATCH_ROWS)
     keep = [c for c in (df.columns if keep is None else keep) if c != name]
     source = df.select(*[col(c).alias(f"c{k}") for k, c in enumerate(keep)], col(text_col).cast("string").alias("text"))
     result = T.StructType.fromDDL(ddl) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(ddl)
