@@ -12,7 +12,9 @@ Verdicts: the longest fitting rule decides; without one the template's purity do
 is null or has no ``://`` has an empty host and path, fits no rule, and is judged as the other
 urls of the empty host, so it is allowed. Repeated rows are judged alike. Every count is a
 groupBy with partial sums, so a host with a third of all urls is no hot task; the joins back
-are equi-joins that adaptive execution may split.
+are equi-joins that adaptive execution may split. The tree, a row for each different lexical path,
+is written after each level, so no level is computed twice. A segment that reads ``*``, ``**``
+or ``{n}`` itself counts as that wildcard.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vectaria.functions.state import Scratch
 from vectaria.llm.textbatch import col
 
 #: The rules of the query, as (verdict, host and path prefix).
@@ -36,8 +39,9 @@ REJECT = 800
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _split(df: DataFrame, url_col: str) -> DataFrame:
-    url = col(url_col)
+def _split(df: DataFrame) -> DataFrame:
+    """Rows with a ``url``, with __host and __path."""
+    url = F.col("url")
     after = F.when(F.instr(url, "://") > 0, url.substr(F.instr(url, "://") + 3, F.length(url))).otherwise("")
     df = df.withColumn("__after", F.coalesce(after, F.lit("")))
     df = df.withColumn("__raw_host", F.regexp_extract("__after", r"^[^/?#]*", 0))
@@ -59,7 +63,10 @@ def _rule(rules: tuple[tuple[str, str], ...]) -> tuple[Column, Column]:
 def template_tree(df: DataFrame, url_col: str = "url", *, rules=RULES, depth: int = DEPTH, reject: int = REJECT) -> DataFrame:
     """``df`` with columns host, path, rule, template, purity and verdict (columns of these names are replaced)."""
     mine = ("host", "path", "rule", "template", "purity", "verdict")
-    rows = _split(df.drop(*[c for c in mine if c in df.columns and c != url_col]), url_col)
+    keep = [c for c in df.columns if c not in mine or c == url_col]
+    # columns are named by position here, so that none clashes with those made below
+    rows = _split(df.select(*[col(c).alias(f"c{k}") for k, c in enumerate(keep)], col(url_col).alias("url")))
+    tables = Scratch(df.sparkSession, "url-tree")
     name, verdict = _rule(rules)
     rows = rows.withColumn("__rule", name).withColumn("__said", verdict)
     segments = F.filter(F.split("__path", "/"), lambda s: s != "")
@@ -72,7 +79,7 @@ def template_tree(df: DataFrame, url_col: str = "url", *, rules=RULES, depth: in
     levels = [f"__s{k}" for k in range(1, depth + 2)]
     labelled, blocked = F.count("__said").alias("__m"), F.count_if(F.col("__said") == "block").alias("__b")
     paths = rows.groupBy("__host", *levels).agg(F.count(F.lit(1)).alias("__n"), labelled, blocked)
-    tree = paths
+    tree = tables.write("paths", paths)
     for k in range(1, depth + 1):
         before, own, made = [f"__t{j}" for j in range(1, k)], f"__s{k}", f"__t{k}"
         node = ["__host", *before]
@@ -85,16 +92,16 @@ def template_tree(df: DataFrame, url_col: str = "url", *, rules=RULES, depth: in
         rm, rb = pm - m, pb - b
         like = (m > 0) & (rm > 0) & ((b * rm - rb * m) * (b * rm - rb * m) * pm <= F.lit(SIMILAR) * pb * (pm - pb) * m * rm)
         child = child.withColumn(made, F.when((F.col(own) != "") & (many | like), "*").otherwise(F.col(own)))
-        tree = tree.join(child.select(*node, own, made), [*node, own])
+        tree = tables.write("paths", tree.join(child.select(*node, own, made), [*node, own]))
     tree = tree.withColumn("__template", F.concat_ws("/", "__host", *[F.when(F.col(c) != "", F.col(c)) for c in (*[f"__t{k}" for k in range(1, depth + 1)], levels[-1])]))
     total = tree.groupBy("__template").agg(F.sum("__m").alias("__m"), F.sum("__b").alias("__b"))
     bad = 1000 * (F.col("__b") + 1) >= reject * (F.col("__m") + 2)
     total = total.select("__template", F.round((F.col("__b") + 1) / (F.col("__m") + 2), 6).alias("__purity"), bad.alias("__bad"))
-    tree = tree.select("__host", *levels, "__template").join(total, "__template")
+    tree = tables.write("templates", tree.select("__host", *levels, "__template").join(total, "__template"))
+    tables.drop("paths")
     out = rows.join(tree, ["__host", *levels], "left")
     decided = F.coalesce("__said", F.when(F.col("__bad"), "block").otherwise("allow"))
-    keep = [c for c in df.columns if c not in mine or c == url_col]
-    return out.select(*[col(c) for c in keep], F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.col("__template").alias("template"), F.col("__purity").alias("purity"), decided.alias("verdict"))
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.col("__template").alias("template"), F.col("__purity").alias("purity"), decided.alias("verdict"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
