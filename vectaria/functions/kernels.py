@@ -7,6 +7,7 @@ differences in order of position, so they equal those of the column expressions
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -96,6 +97,42 @@ def top_pairs(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int)
     return np.concatenate(rows), np.concatenate(ats), np.concatenate(ds)
 
 
+class TopK:
+    """The k nearest rows of each query among all that are added, one row per id, in bounded memory."""
+
+    def __init__(self, n_queries: int, k: int):
+        self.k, self.most = k, 2 * n_queries * k + (1 << 16)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, row: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
+        self.parts.append((row, ids, dist))
+        self.size += len(row)
+        if self.size > self.most:
+            self._cut()
+
+    def _cut(self) -> None:
+        row, ids, dist = (np.concatenate([p[c] for p in self.parts]) for c in range(3))
+        order = np.lexsort((ids, np.round(dist, RANK_DIGITS), row))
+        row, ids, dist = row[order], ids[order], dist[order]
+        # a vector has the same distance wherever it is found, so its rows adjoin
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])
+        row, ids, dist = row[new], ids[new], dist[new]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < self.k
+        self.parts = [(row[keep], ids[keep], dist[keep])]
+        self.size = int(keep.sum())
+
+    def batches(self, query_ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """What is left, as (query_id, vec_id, dist)."""
+        if self.parts:
+            self._cut()
+            row, ids, dist = self.parts[0]
+            for at in range(0, len(row), 1 << 16):
+                own = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[row[own]]), pa.array(ids[own]), pa.array(dist[own])], names=["query_id", "vec_id", "dist"])
+
+
 def fixed_point(x: np.ndarray, scale: float) -> np.ndarray:
     """Rounded multiples of 1 / scale, halves away from zero."""
     y = x.astype(np.float64) * scale

@@ -65,8 +65,8 @@ def remove(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Parquet tables of one operation in the shared folder, dropped once they are done with."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base, self.at = spark, f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", {}
+    def __init__(self, spark: SparkSession, name: str, base: str | None = None):
+        self.spark, self.base, self.at = spark, base or f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", {}
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """``df`` as a table; a former table of the name is dropped once this one is written."""
@@ -78,6 +78,13 @@ class Scratch:
             remove(self.spark, former)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep(self, name: str, df: DataFrame) -> tuple[str, DataFrame]:
+        """``df`` as a table of its own, which nothing drops but ``remove``; its folder and its rows."""
+        path = f"{self.base}/{name}-{uuid.uuid4().hex}"
+        with shuffles_removed(self.spark):
+            df.write.parquet(path)
+        return path, self.spark.read.schema(df.schema).parquet(path)
+
     def drop(self, *names: str) -> None:
         for name in names:
             if path := self.at.pop(name, None):

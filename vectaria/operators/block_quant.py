@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vectaria.functions.kernels import all_l2, matrix, on_workers
-from vectaria.operators.rank import top_k
+from vectaria.functions.kernels import TopK, all_l2, matrix, on_workers
+from vectaria.operators.rank import nearest_of
 from vectaria.operators.scalar_quant import ROTATION_SEED, TINY, bounded_sample, in_order_dot, rotation, unit
 from vectaria.operators.search import Queries, in_passes
 
@@ -141,6 +141,27 @@ def decode(codes: DataFrame, quantiser: BlockQuantiser) -> DataFrame:
     return codes.select("vec_id", "codes", "sqnorm").mapInArrow(run, "vec_id bigint, decoded array<double>")
 
 
+def scores(queries: DataFrame, codes: DataFrame, quantiser: BlockQuantiser) -> DataFrame:
+    """(query_id, vec_id, dist): the estimate of every query to every code, without a ranking."""
+    on_workers(codes.sparkSession)
+
+    def one_pass(q: Queries) -> DataFrame:
+        shared = q.send(codes.sparkSession, quantiser)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q, quantiser = shared.value
+            for batch in batches:
+                ids, scale, sq = (np.asarray(batch.column(c)) for c in (0, 2, 3))
+                code = np.array(batch.column(1).to_pylist(), np.int64).reshape(batch.num_rows, -1)
+                for b in range(0, len(q.ids) if len(ids) else 0, 256):
+                    est = np.round(quantiser.estimates(q.vectors[b : b + 256], code, scale, sq), 7)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q.ids[b : b + 256], len(ids))), pa.array(np.tile(ids, len(est))), pa.array(est.ravel())], names=["query_id", "vec_id", "dist"])
+
+        return codes.mapInArrow(run, "query_id bigint, vec_id bigint, dist double")
+
+    return in_passes(queries, one_pass, quantiser.dim)
+
+
 def search(queries: DataFrame, codes: DataFrame, quantiser: BlockQuantiser, k: int) -> DataFrame:
     """(query_id, rank, vec_id, dist): the k least estimates over all codes."""
     if k <= 0:
@@ -148,10 +169,11 @@ def search(queries: DataFrame, codes: DataFrame, quantiser: BlockQuantiser, k: i
     on_workers(codes.sparkSession)
 
     def one_pass(q: Queries) -> DataFrame:
-        shared = codes.sparkSession.sparkContext.broadcast((q, quantiser))
+        shared = q.send(codes.sparkSession, quantiser)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q, quantiser = shared.value
+            best = TopK(len(q.ids), k)
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -162,8 +184,9 @@ def search(queries: DataFrame, codes: DataFrame, quantiser: BlockQuantiser, k: i
                 for b in range(0, len(q.ids), 256):
                     est = np.round(quantiser.estimates(q.vectors[b : b + 256], code, scale, sq), 7)
                     pick = by[np.argsort(est[:, by], axis=1, kind="stable")[:, :k]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q.ids[b : b + 256], pick.shape[1])), pa.array(ids[pick.ravel()]), pa.array(np.take_along_axis(est, pick, 1).ravel())], names=["query_id", "vec_id", "dist"])
+                    best.add(np.repeat(np.arange(b, b + len(pick)), pick.shape[1]), ids[pick.ravel()], np.take_along_axis(est, pick, 1).ravel())
+            yield from best.batches(q.ids)
 
         return codes.mapInArrow(run, "query_id bigint, vec_id bigint, dist double")
 
-    return top_k(in_passes(queries, one_pass, quantiser.dim), k).select("query_id", "rank", "vec_id", "dist")
+    return nearest_of(in_passes(queries, one_pass, quantiser.dim), k)

@@ -1,7 +1,8 @@
 """K-means training (Lloyd) and its parts.
 
-A round is one job: every batch assigns its vectors and emits sums per cell, which Spark adds
-up; the driver gets n_clusters rows. Sums are in fixed point, so their order cannot matter.
+A round is one job: every task assigns its vectors and emits sums per cell, which Spark adds up;
+the driver gets n_clusters times (dim + 1) numbers. Sums are in fixed point, so their order cannot
+matter. What training reads is written once, if it is a share of the rows.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectaria.functions.kernels import fixed_point, matrix, nearest, on_workers
+from vectaria.functions.state import durable
 
 SCALE = 1e9
 #: Fixed values of the training rule.
@@ -89,7 +91,7 @@ def train(vectors: DataFrame, n_clusters: int, dim: int, *, rounds: int = ROUNDS
         return Centroids(np.arange(n_clusters), rng.uniform(-1, 1, (n_clusters, dim)))
     cells = Centroids(np.arange(n_clusters), np.array([r["embedding"] for r in start], np.float64))
     if max_rows is not None and (n := vectors.count()) > max_rows:
-        vectors = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
+        vectors = durable(vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(max_rows / n * (1 << 30))))
     for _ in range(rounds):
         count, total = cell_sums(vectors, cells, dim)
         mean = total / np.maximum(count, 1)[:, None] / SCALE

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vectaria.functions.state import durable
+
 
 def recall_at_k(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """One row: shared results over queries times k."""
@@ -28,10 +30,14 @@ def leaks(found: DataFrame, tombstones: DataFrame) -> DataFrame:
 
 def pareto(points: DataFrame, x: str, y: str) -> DataFrame:
     """Points not dominated: no other has x at most as large and a larger or equal y (ties keep the first by x, -y)."""
-    # one row per x, so the window runs over distinct values
-    best = points.groupBy(x).agg(F.max(y).alias(y))
-    w = Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    return best.withColumn("m", F.max(y).over(w)).where(F.col("m").isNull() | (F.col(y) > F.col("m"))).drop("m")
+    # one row per x in ranges of x; a range starts from the largest y of those before it
+    best = points.groupBy(x).agg(F.max(y).alias(y)).repartitionByRange(x)
+    best = durable(best.select(x, y, F.spark_partition_id().alias("__range")))
+    most = best.groupBy("__range").agg(F.max(y).alias("__most"))
+    before = most.select("__range", F.max("__most").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    w = Window.partitionBy("__range").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    m = F.greatest(F.max(y).over(w), F.col("__before"))
+    return best.join(F.broadcast(before), "__range").withColumn("__m", m).where(F.col("__m").isNull() | (F.col(y) > F.col("__m"))).select(x, y)
 
 
 def cluster_hits(probed: DataFrame) -> DataFrame:

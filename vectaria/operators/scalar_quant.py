@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectaria.functions.kernels import matrix, on_workers
-from vectaria.operators.rank import dedup, top_k
+from vectaria.functions.kernels import TopK, matrix, on_workers
+from vectaria.operators.rank import nearest_of
 from vectaria.operators.search import Queries, in_passes, probe_pass
 
 #: Fixed values of the quantiser.
@@ -191,6 +191,28 @@ def estimates(quantiser: ScalarQuantiser, q: np.ndarray, code: np.ndarray, scale
     return q_sq[:, None] + sq[None, :] - 2 * ((bias[:, None] + total) * scale[None, :])
 
 
+def scores(queries: DataFrame, codes: DataFrame, quantiser: ScalarQuantiser, *, lut_bits: int = 0) -> DataFrame:
+    """(query_id, vec_id, dist): the estimate of every query to every code, without a ranking."""
+    dim = len(quantiser.scale)
+
+    def one_pass(q: Queries) -> DataFrame:
+        shared = q.send(codes.sparkSession, quantiser)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q, quantiser = shared.value
+            for batch in batches:
+                ids, scale, sq = (np.asarray(batch.column(c)) for c in (0, 2, 3))
+                code = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, dim)
+                for b in range(0, len(q.ids), 256):
+                    est = np.round(estimates(quantiser, q.vectors[b : b + 256], code, scale, sq, lut_bits), 7)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q.ids[b : b + 256], len(ids))), pa.array(np.tile(ids, len(est))), pa.array(est.ravel())], names=["query_id", "vec_id", "dist"])
+
+        return codes.select("vec_id", "codes", "scale", "sqnorm").mapInArrow(run, "query_id bigint, vec_id bigint, dist double")
+
+    on_workers(codes.sparkSession)
+    return in_passes(queries, one_pass, dim)
+
+
 def search(queries: DataFrame, codes: DataFrame, cells, quantiser: ScalarQuantiser, k: int, nprobe: int, *, lut_bits: int = 0) -> DataFrame:
     """(query_id, rank, vec_id, dist): the k least estimates among the probed cells, one per vector."""
     if k <= 0:
@@ -200,10 +222,11 @@ def search(queries: DataFrame, codes: DataFrame, cells, quantiser: ScalarQuantis
     def one_pass(q: Queries) -> DataFrame:
         probe_pass(q, cells, nprobe)
         wanted = sorted(q.probed)
-        shared = codes.sparkSession.sparkContext.broadcast((q, quantiser))
+        shared = q.send(codes.sparkSession, quantiser)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q, quantiser = shared.value
+            best = TopK(len(q.ids), k)
             for batch in batches:
                 cell, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
                 code = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, dim)
@@ -219,9 +242,10 @@ def search(queries: DataFrame, codes: DataFrame, cells, quantiser: ScalarQuantis
                         # ties go to the smaller id
                         by = np.argsort(ids[at], kind="stable")
                         pick = by[np.argsort(est[:, by], axis=1, kind="stable")[:, :k]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q.ids[own], pick.shape[1])), pa.array(ids[at][pick.ravel()]), pa.array(np.take_along_axis(est, pick, 1).ravel())], names=["query_id", "vec_id", "dist"])
+                        best.add(np.repeat(own, pick.shape[1]), ids[at][pick.ravel()], np.take_along_axis(est, pick, 1).ravel())
+            yield from best.batches(q.ids)
 
         return codes.where(F.col("cluster_id").isin(wanted)).mapInArrow(run, "query_id bigint, vec_id bigint, dist double")
 
     on_workers(codes.sparkSession)
-    return top_k(dedup(in_passes(queries, one_pass, dim)), k).select("query_id", "rank", "vec_id", "dist")
+    return nearest_of(in_passes(queries, one_pass, dim), k)

@@ -76,7 +76,7 @@ RECALL = "SELECT (SELECT count(*) FROM q) AS n_queries, count(*) AS hits, round(
 SPLIT = [E, *_train("e"), _postings(k=1), "lv AS MATERIALIZED (SELECT cid, vec_id, v FROM p JOIN e USING (vec_id) WHERE vec_id % 7 <> 0)", "sz AS (SELECT cid, count(*) AS n FROM lv GROUP BY cid)", f"big AS (SELECT cid, n FROM sz WHERE n > floor((SELECT sum(n) FROM sz)::DOUBLE / {CELLS} * {SPLIT_AT}))"]
 
 
-def _split() -> str:
+def _split(last: str = f"SELECT cid AS cluster_id, vec_id, side FROM s{ROUNDS}", more: tuple[str, ...] = ()) -> str:
     parts = [*SPLIT, "w AS MATERIALIZED (SELECT cid, vec_id, v, row_number() OVER (PARTITION BY cid ORDER BY vec_id) - 1 AS i FROM lv WHERE cid IN (SELECT cid FROM big))", "h0 AS MATERIALIZED (SELECT cid, i AS side, list_transform(v, lambda x: x::DOUBLE) AS h FROM w WHERE i < 2)"]
     for r in range(1, ROUNDS + 1):
         parts += [
@@ -84,7 +84,14 @@ def _split() -> str:
             f"y{r} AS (SELECT cid, side, list(x ORDER BY pos) AS h FROM (SELECT cid, side, pos, sum(round(x * 1e9)::BIGINT)::DOUBLE / count(*) / 1e9 AS x FROM (SELECT cid, side, unnest(v)::DOUBLE AS x, unnest({POS}) AS pos FROM s{r}) GROUP BY ALL) GROUP BY cid, side)",
             f"h{r} AS MATERIALIZED (SELECT h{r - 1}.cid, h{r - 1}.side, coalesce(y{r}.h, h{r - 1}.h) AS h FROM h{r - 1} LEFT JOIN y{r} USING (cid, side))",
         ]
-    return _with(parts, f"SELECT cid AS cluster_id, vec_id, side FROM s{ROUNDS}")
+    return _with([*parts, *more], last)
+
+
+#: Cells with rows on both sides, numbered on from the last cell in order of their ids.
+IN_INDEX = _split(
+    f"SELECT lv.vec_id, (CASE WHEN s.side = 1 THEN nw.id ELSE lv.cid END)::BIGINT AS cluster_id FROM lv LEFT JOIN s{ROUNDS} s USING (cid, vec_id) LEFT JOIN nw ON nw.cid = lv.cid",
+    (f"nw AS (SELECT cid, {CELLS} - 1 + row_number() OVER (ORDER BY cid) AS id FROM (SELECT cid FROM s{ROUNDS} GROUP BY cid HAVING count(DISTINCT side) = 2))",),
+)
 
 
 def _drift() -> str:
@@ -220,6 +227,7 @@ ORACLE_SQL = {
     "cluster_imbalance": _with([E, *_train("e"), _postings()], "SELECT round(max(n) / avg(n), 6) AS imbalance FROM (SELECT cid, count(*) FILTER (p.vec_id % 7 <> 0) AS n FROM c LEFT JOIN p USING (cid) GROUP BY cid)"),
     "overloaded_clusters": _with(SPLIT, "SELECT cid AS cluster_id, n AS live_size FROM big"),
     "split_cluster": _split(),
+    "split_in_index": IN_INDEX,
     "rebuild_baseline": _with([E, Q, LIVE, *_train("live"), _postings("live"), PROBE, *_found()], OUT),
     "postfilter_baseline": _with([E, Q, *_exact(name="w", k=10 * K)], f"SELECT query_id, rank, vec_id, {_r('dist')} AS dist FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), vec_id) AS rank, vec_id, dist FROM w WHERE {NOT_DEAD}) WHERE rank <= {K}"),
     "churn_round": _with([E, Q, BASE, *_train("base"), _postings(), PROBE, "old AS (SELECT vec_id FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i, count(*) OVER () AS n FROM e) WHERE i <= n * 3 // 10)", *_found("vec_id NOT IN (SELECT vec_id FROM old)")], OUT),

@@ -7,9 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectaria.functions.state import durable
+from vectaria.functions.state import Scratch, durable
 from vectaria.functions.vectors import check_dimension
-from vectaria.operators import block_quant
+from vectaria.operators import block_quant, search
+from vectaria.plans.index import MOST_PIECES, Pieces
 
 
 class FlatVQIndex:
@@ -18,36 +19,55 @@ class FlatVQIndex:
     def __init__(self, spark: SparkSession, dim: int, block: int = 2, words: int = 256):
         self.spark, self.dim, self.block, self.words = spark, dim, block, words
         self.quantiser: block_quant.BlockQuantiser | None = None
-        self.codes = spark.createDataFrame([], block_quant.CODES)
-        self.tombstones = spark.createDataFrame([], "vec_id bigint")
-        self.next_id = 0
+        self.tables = Scratch(spark, "flat")
+        self.pieces = {"codes": Pieces(spark, block_quant.CODES, ("vec_id",)), "tombstones": Pieces(spark, "vec_id bigint", ("vec_id",))}
+        self.next_id = self.n_dead = self.n_issued = 0
+
+    @property
+    def codes(self) -> DataFrame:
+        return self.pieces["codes"].rows
+
+    @property
+    def tombstones(self) -> DataFrame:
+        return self.pieces["tombstones"].rows
+
+    def _put(self, name: str, df: DataFrame) -> None:
+        piece = self.pieces[name]
+        piece.add(self.tables, name, df)
+        if len(piece.paths) > MOST_PIECES:
+            piece.replace(self.tables, name, piece.rows)
 
     def train(self, vectors: DataFrame, *, rounds: int = block_quant.ROUNDS, seed: int | None = block_quant.ROTATION_SEED) -> None:
         check_dimension(vectors, "embedding", self.dim)
         self.quantiser = block_quant.fit(vectors, self.dim, self.block, self.words, rounds=rounds, seed=seed)
 
     def add(self, vectors: DataFrame) -> tuple[int, int]:
-        """Adds (vec_id, embedding) rows; returns the half-open range of ids."""
+        """Adds (vec_id, embedding) rows, which alone are written; returns the half-open range of ids. Ids must be new."""
         if self.quantiser is None:
             raise ValueError("train first")
         check_dimension(vectors, "embedding", self.dim)
         rows = durable(block_quant.encode(vectors, self.quantiser))
-        span = rows.agg(F.min("vec_id"), F.max("vec_id")).first()
-        if span[0] is None:
+        low, high, n, distinct = rows.agg(F.min("vec_id"), F.max("vec_id"), F.count(F.lit(1)), F.count_distinct("vec_id")).first()
+        if low is None:
             return self.next_id, self.next_id
-        self.codes = durable(self.codes.unionByName(rows))
-        self.next_id = max(self.next_id, span[1] + 1)
-        return span[0], span[1] + 1
+        if n != distinct or (low < self.next_id and not rows.join(self.codes.where(F.col("vec_id").between(low, high)).select("vec_id"), "vec_id", "left_semi").isEmpty()):
+            raise ValueError("ids must be new")
+        self._put("codes", rows)
+        self.n_issued += n
+        self.next_id = max(self.next_id, high + 1)
+        return low, high + 1
 
     def remove(self, ids: DataFrame | Iterable[int]) -> None:
         """Hides vectors; unknown ids are ignored."""
         if not isinstance(ids, DataFrame):
             ids = self.spark.createDataFrame([(int(i),) for i in ids], "vec_id bigint")
-        new = ids.select("vec_id").distinct().join(self.codes, "vec_id", "left_semi").join(self.tombstones, "vec_id", "left_anti")
-        self.tombstones = durable(self.tombstones.union(new))
+        new = durable(ids.select("vec_id").distinct().join(self.codes.select("vec_id"), "vec_id", "left_semi").join(self.tombstones, "vec_id", "left_anti"))
+        if n := new.count():
+            self._put("tombstones", new)
+            self.n_dead += n
 
     def live(self) -> DataFrame:
-        return self.codes.join(self.tombstones, "vec_id", "left_anti").select(*self.codes.columns)
+        return search.live(self.codes, self.tombstones, self.n_dead)
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         check_dimension(queries, "qv", self.dim)
@@ -63,4 +83,4 @@ class FlatVQIndex:
         return self.quantiser.bytes_per_vector()
 
     def n_live(self) -> int:
-        return self.live().count()
+        return self.n_issued - self.n_dead

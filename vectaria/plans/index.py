@@ -1,8 +1,13 @@
 """A vector index as tables: centroids, postings, codes, tombstones and purged ids.
 
-Every mutation makes the next generation of the tables it changes; searches never write.
-Centroids are bounded by the number of cells and live on the driver; everything else is a
-DataFrame kept in the shared checkpoint folder or, when saved, in Parquet.
+Every mutation makes the next generation of the tables it changes; searches never write. A table
+is a list of pieces, Parquet folders that are never changed: an addition or a deletion writes a
+piece of its own rows, and after MOST_PIECES all pieces are written as one. Pieces of postings
+are in order of cells, so that searches read the probed cells' parts of them. Centroids and each
+cell's numbers of rows are bounded by the number of cells and live on the driver, so an addition
+or deletion costs as much as its own rows, not the index's: additions of ids above all former
+ones look at nothing else, and deletions read only ids (not vectors), of pieces whose range of
+ids they meet. Superseded pieces stay, for results that are still to be read, until ``vacuum``.
 """
 
 from __future__ import annotations
@@ -11,11 +16,12 @@ from collections.abc import Iterable
 from functools import reduce
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vectaria.functions.state import durable
+from vectaria.functions.state import Scratch, durable, remove
 from vectaria.functions.vectors import check_dimension, l2_distance, scan_vectors
 from vectaria.operators import kmeans, scalar_quant, search, split
 from vectaria.operators.assign import POSTINGS, postings_of
@@ -24,24 +30,112 @@ from vectaria.operators.rank import top_k
 from vectaria.plans.config import IndexConfig
 
 
-#: Additions and splits whose rows stay in tables of their own before all are written as one.
+#: Pieces of a table before all are written as one.
 MOST_PIECES = 32
 
 
+class Pieces:
+    """A table as folders of Parquet files; of a folder, the rows of some cells may be hidden."""
+
+    def __init__(self, spark: SparkSession, schema: str, order: tuple[str, ...] = ()):
+        self.spark, self.order = spark, order
+        self.empty = spark.createDataFrame([], schema)
+        self.rows, self.hidden, self.frames = self.empty, {}, {}
+
+    @property
+    def paths(self) -> list[str]:
+        return list(self.hidden)
+
+    def read(self, hidden: dict[str, list[int]]) -> None:
+        """Takes folders, with the cells that are hidden in each."""
+        self.hidden = {p: sorted(cells) for p, cells in hidden.items()}
+        self.frames = {p: self.frames[p] if p in self.frames else self.spark.read.schema(self.empty.schema).parquet(p) for p in self.hidden}
+        frames = [self.frames[p].where(~F.col("cluster_id").isin(cells)) if cells else self.frames[p] for p, cells in self.hidden.items()]
+        self.rows = union_all(frames) if frames else self.empty
+
+    def add(self, tables: Scratch, name: str, df: DataFrame, hide: list[int] | None = None) -> DataFrame:
+        """Writes a piece; returns its rows. Rows of the cells ``hide`` are hidden in former pieces."""
+        df = df.select(*self.empty.columns)
+        path, rows = tables.keep(name, df.sortWithinPartitions(*self.order) if self.order else df)
+        self.read({p: sorted({*cells, *(hide or [])}) for p, cells in self.hidden.items()} | {path: []})
+        return rows
+
+    def replace(self, tables: Scratch, name: str, df: DataFrame) -> list[str]:
+        """Writes all rows anew, cell by cell; returns the former folders."""
+        former, df = self.paths, df.select(*self.empty.columns)
+        path, _ = tables.keep(name, df.repartitionByRange(*self.order).sortWithinPartitions(*self.order) if self.order else df)
+        self.read({path: []})
+        return former
+
+
 class VectorIndex:
     """Build, add, delete, search, compact, split and describe; see IndexConfig for parameters."""
 
-    def __init__(self, spark: SparkSession, config: IndexConfig):
+    def __init__(self, spark: SparkSession, config: IndexConfig, base: str | None = None):
         self.spark, self.config = spark, config
+        self.tables = Scratch(spark, "index", base)
         self.cells: Centroids | None = None
-        self.postings = spark.createDataFrame([], POSTINGS)
-        self.tombstones = spark.createDataFrame([], "vec_id bigint")
-        self.purged = spark.createDataFrame([], "vec_id bigint")
+        by_cell = ("cluster_id", "vec_id")
+        self.pieces = {
+            "postings": Pieces(spark, POSTINGS, by_cell), "codes": Pieces(spark, scalar_quant.CODES, by_cell),
+            "tombstones": Pieces(spark, "vec_id bigint", ("vec_id",)), "purged": Pieces(spark, "vec_id bigint", ("vec_id",)),
+        }
         self.quantiser: scalar_quant.ScalarQuantiser | None = None
-        self.codes: DataFrame | None = None
-        self.n_issued = self.next_id = self.round = self.generation = 0
+        self.n_issued = self.next_id = self.round = self.generation = self.n_dead = self.n_purged = 0
+        #: physical rows and dead rows of each cell
+        self.physical: dict[int, int] = {}
+        self.dead: dict[int, int] = {}
         self.last_batch = -1
-        self._pieces = 0
+        self.superseded: list[str] = []
+        self._stored: tuple[int, str, DataFrame] | None = None
+
+    @property
+    def postings(self) -> DataFrame:
+        """(cluster_id, vec_id, assign_rank, embedding, norm_sq), rows of deleted vectors included."""
+        rows = self.pieces["postings"].rows
+        level = self.config.storage
+        if self._stored is not None and self._stored[:2] != (id(rows), level):
+            self._stored[2].unpersist()
+            self._stored = None
+        if level and self._stored is None:
+            self._stored = id(rows), level, rows.persist(getattr(StorageLevel, level))
+        return rows
+
+    @property
+    def codes(self) -> DataFrame | None:
+        return self.pieces["codes"].rows if self.quantiser is not None else None
+
+    @property
+    def tombstones(self) -> DataFrame:
+        return self.pieces["tombstones"].rows
+
+    @property
+    def purged(self) -> DataFrame:
+        return self.pieces["purged"].rows
+
+    def _put(self, name: str, df: DataFrame, hide: list[int] | None = None) -> DataFrame:
+        """A new piece; many pieces become one."""
+        piece = self.pieces[name]
+        rows = piece.add(self.tables, name, df, hide)
+        if len(piece.paths) > MOST_PIECES:
+            self.superseded += piece.replace(self.tables, name, piece.rows)
+        return rows
+
+    def _replace(self, name: str, df: DataFrame) -> None:
+        self.superseded += self.pieces[name].replace(self.tables, name, df)
+
+    def vacuum(self) -> None:
+        """Removes superseded pieces; results of earlier searches that were not read yet can't be read any more."""
+        for path in self.superseded:
+            remove(self.spark, path)
+        self.superseded = []
+
+    def recount(self) -> None:
+        """Numbers of rows from the tables, as after loading."""
+        sizes = split.cell_sizes(self.postings, self.tombstones).collect()
+        self.physical = {r[0]: r[1] for r in sizes}
+        self.dead = {r[0]: r[1] - r[2] for r in sizes}
+        self.n_dead, self.n_purged = self.tombstones.count(), self.purged.count()
 
     # ---- inserts
 
@@ -59,77 +153,82 @@ class VectorIndex:
         rows = numbered.join(F.broadcast(offsets.select("p", "first", "at")), "p")
         return durable(rows.select((F.col("at") + F.col("m") - F.col("first") + self.next_id).alias("vec_id"), "embedding"))
 
-    def add(self, df: DataFrame, id_col: str | None = "vec_id", vec_col: str = "embedding") -> tuple[int, int] | None:
+    def add(self, df: DataFrame, id_col: str | None = "vec_id", vec_col: str = "embedding", *, maintain: bool = True) -> tuple[int, int] | None:
         """Adds rows; the first addition trains. Returns the first and last id, None for no rows.
 
         An id that the index has or had raises ValueError: an update is a delete and an
-        addition under a new id.
+        addition under a new id. Without ``maintain`` no compaction follows.
         """
         rows = self._with_ids(df, id_col, vec_col)
-        span = rows.agg(F.count(F.lit(1)), F.min("vec_id"), F.max("vec_id"), F.count_distinct("vec_id")).first()
+        span = self._span(rows)
         if not span[0]:
             return None
-        if span[3] != span[0] or (self.n_issued and not self.known(rows.select("vec_id")).isEmpty()):
-            raise ValueError("ids must be new")
         first = self.n_issued == 0
         if first:
             c = self.config
             self.cells = kmeans.train(rows, c.n_clusters, c.dim, rounds=c.train_rounds, seed=c.seed, empty=c.empty_policy)
             if c.quant == "tq":
                 self.quantiser = scalar_quant.fit(rows, c.dim, c.tq_bits, calibration=c.calibrate)
-        self._append(postings_of(rows, self.cells, self.config.soft_k), span[0], span[2])
+        self._append(postings_of(rows, self.cells, self.config.soft_k), span)
         if not first:
             self.rebalance()
-            self._auto_compact()
+            if maintain:
+                self._auto_compact()
         return span[1], span[2]
 
+    def add_one(self, vector: list[float], vec_id: int | None = None) -> int:
+        """Adds one vector, under the next id or a given one, without compaction; returns its id."""
+        rows = [([float(x) for x in vector],)] if vec_id is None else [([float(x) for x in vector], int(vec_id))]
+        df = self.spark.createDataFrame(rows, "embedding array<float>" + (", vec_id bigint" if vec_id is not None else "")).coalesce(1)
+        return self.add(df, "vec_id" if vec_id is not None else None, maintain=False)[0]
+
+    def _span(self, rows: DataFrame) -> tuple[int, int, int]:
+        """Number of rows, first and last id; ids must be new."""
+        n, low, high, distinct = rows.agg(F.count(F.lit(1)), F.min("vec_id"), F.max("vec_id"), F.count_distinct("vec_id")).first()
+        # ids above all former ones need no look at these
+        if n and (distinct != n or (self.n_issued and low < self.next_id and not self.known(rows.select("vec_id"), low, high).isEmpty())):
+            raise ValueError("ids must be new")
+        return n, low, high
+
     def add_assigned(self, df: DataFrame, assignments: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> None:
         """Adds rows to given cells, (vec_id, assign_rank, cluster_id); unknown cells are skipped."""
         if self.cells is None:
             raise ValueError("the index has no centroids yet")
         rows = self._with_ids(df, id_col, vec_col)
-        span = rows.agg(F.count(F.lit(1)), F.max("vec_id")).first()
+        span = self._span(rows)
         if not span[0]:
             return
-        if not self.known(rows.select("vec_id")).isEmpty():
-            raise ValueError("ids must be new")
         known = self.spark.createDataFrame([(int(c),) for c in self.cells.ids], "cluster_id int")
         a = assignments.select("vec_id", F.col("assign_rank").cast("int").alias("assign_rank"), F.col("cluster_id").cast("int").alias("cluster_id")).join(F.broadcast(known), "cluster_id", "left_semi")
         # ranks close up over skipped cells, so every stored vector has a row of rank 1
         a = a.withColumn("assign_rank", F.row_number().over(Window.partitionBy("vec_id").orderBy("assign_rank", "cluster_id")))
         norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-        self._append(a.join(rows, "vec_id").select("cluster_id", "vec_id", "assign_rank", "embedding", norm.alias("norm_sq")), span[0], span[1], rows.select("vec_id"))
+        self._append(a.join(rows, "vec_id").select("cluster_id", "vec_id", "assign_rank", "embedding", norm.alias("norm_sq")), span, rows.select("vec_id"))
         self.rebalance()
         self._auto_compact()
 
-    def _append(self, postings: DataFrame, n: int, last: int, ids: DataFrame | None = None) -> None:
-        # only the new rows are written; after MOST_PIECES additions all are written as one
-        new = durable(postings)
-        self.postings = self.postings.unionByName(new)
+    def _append(self, postings: DataFrame, span: tuple[int, int, int], ids: DataFrame | None = None) -> None:
+        new = self._put("postings", postings)
+        for c, n in new.groupBy("cluster_id").count().collect():
+            self.physical[c] = self.physical.get(c, 0) + n
         if self.quantiser is not None:
-            codes = durable(scalar_quant.encode(new, self.quantiser))
-            self.codes = codes if self.codes is None else self.codes.unionByName(codes)
+            self._put("codes", scalar_quant.encode(new, self.quantiser))
         if ids is not None:
             # rows without any location still count as issued
-            lost = ids.join(new.select("vec_id").distinct(), "vec_id", "left_anti")
-            self.purged = durable(self.purged.union(lost))
-        self._pieces += 1
-        if self._pieces > MOST_PIECES:
-            self.postings = durable(self.postings)
-            self.codes = self.codes and durable(self.codes)
-            self._pieces = 1
-        self.n_issued += n
-        self.next_id = max(self.next_id, last + 1)
+            lost = durable(ids.join(new.select("vec_id").distinct(), "vec_id", "left_anti"))
+            if n := lost.count():
+                self._put("purged", lost)
+                self.n_purged += n
+        self.n_issued += span[0]
+        self.next_id = max(self.next_id, span[2] + 1)
         self.round += 1
         self.generation += 1
 
-    def _encode(self) -> None:
-        if self.quantiser is not None:
-            self.codes = durable(scalar_quant.encode(self.postings, self.quantiser))
-
-    def known(self, ids: DataFrame) -> DataFrame:
-        """Those of the ids that were ever issued."""
-        every = self.postings.select("vec_id").union(self.purged)
+    def known(self, ids: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
+        """Those of the ids (between ``low`` and ``high``, if given) that were ever issued."""
+        every = self.pieces["postings"].rows.select("vec_id").union(self.purged)
+        if low is not None:
+            every = every.where(F.col("vec_id").between(low, high))
         return ids.join(every, "vec_id", "left_semi")
 
     # ---- deletes and maintenance
@@ -140,16 +239,27 @@ class VectorIndex:
             ids = [ids]
         if not isinstance(ids, DataFrame):
             ids = self.spark.createDataFrame([(int(i),) for i in ids], "vec_id bigint")
-        new = ids.select(F.col("vec_id").cast("long")).distinct().join(self.postings.select("vec_id"), "vec_id", "left_semi").join(self.tombstones, "vec_id", "left_anti")
-        new = durable(new)
+        ids = durable(ids.select(F.col("vec_id").cast("long").alias("vec_id")).where("vec_id IS NOT NULL").distinct())
+        asked, low, high = ids.agg(F.count(F.lit(1)), F.min("vec_id"), F.max("vec_id")).first()
+        if not asked:
+            return 0
+        near = F.col("vec_id").between(low, high)
+        few = F.broadcast(ids) if asked <= search.BROADCAST_IDS else ids
+        at = self.pieces["postings"].rows.select("vec_id", "cluster_id").where(near).join(few, "vec_id", "left_semi")
+        at = durable(search.live(at, self.tombstones.where(near), self.n_dead))
+        rows = dict(at.groupBy("cluster_id").count().collect())
+        if not rows:
+            return 0
+        new = self._put("tombstones", at.select("vec_id").distinct())
         n = new.count()
-        if n:
-            self.tombstones = durable(self.tombstones.union(new))
-            self.generation += 1
+        for c, k in rows.items():
+            self.dead[c] = self.dead.get(c, 0) + k
+        self.n_dead += n
+        self.generation += 1
         return n
 
     def live(self) -> DataFrame:
-        return search.live(self.postings, self.tombstones)
+        return search.live(self.postings, self.tombstones, self.n_dead)
 
     def vectors(self) -> DataFrame:
         """(vec_id, embedding) of live vectors, one row each."""
@@ -157,28 +267,43 @@ class VectorIndex:
 
     def compact(self) -> int:
         """Rewrites postings without deleted vectors; their ids stay known. Returns how many ids were purged."""
-        n = self.tombstones.count()
+        n = self.n_dead
         if n:
-            self.postings = durable(self.live())
-            self.purged = durable(self.purged.union(self.tombstones))
-            self.tombstones = self.spark.createDataFrame([], "vec_id bigint")
+            if self.quantiser is not None:
+                self._replace("codes", search.live(self.codes, self.tombstones, n))
+            self._replace("postings", search.live(self.pieces["postings"].rows, self.tombstones, n))
+            self._put("purged", self.tombstones)
+            self._forget_tombstones(None)
+            self.n_purged += n
+            self.physical = {c: k for c in self.physical if (k := self.physical[c] - self.dead.get(c, 0))}
+            self.dead = {}
             self.generation += 1
-            self._pieces = 1
-            self._encode()
         return n
 
+    def _forget_tombstones(self, left: DataFrame | None) -> None:
+        if left is not None:
+            self._replace("tombstones", left)
+            self.n_dead = self.tombstones.count()
+        else:
+            self.superseded += self.pieces["tombstones"].paths
+            self.pieces["tombstones"] = Pieces(self.spark, "vec_id bigint", ("vec_id",))
+            self.n_dead = 0
+
     def _auto_compact(self) -> None:
-        if self.tombstones.count() > self.n_issued // 10:
+        if self.n_dead > self.n_issued // 10:
             self.compact()
 
+    def live_sizes(self) -> dict[int, int]:
+        return {c: n - self.dead.get(c, 0) for c, n in self.physical.items()}
+
     def rebalance(self) -> int:
         """One pass of splits of overloaded cells; returns how many cells were split."""
-        sizes = split.cell_sizes(self.postings, self.tombstones)
-        cells = [r[0] for r in split.overloaded(sizes, len(self.cells.ids), self.config.split_threshold).orderBy("cluster_id").collect()]
+        sizes = self.live_sizes()
+        limit = split.limit_of(sum(sizes.values()), len(self.cells.ids), self.config.split_threshold)
+        cells = sorted(c for c, n in sizes.items() if n > limit)
         if not cells:
             return 0
-        live = self.live()
-        centers, sides = split.two_means(live, cells, self.config.dim, self.config.max_split_iters)
+        centers, sides = split.two_means(self.live(), cells, self.config.dim, self.config.max_split_iters)
         sides = durable(sides)
         both = {r[0] for r in sides.groupBy("cluster_id").agg(F.count_distinct("side").alias("n")).where("n = 2").collect()}
         moved = {}
@@ -193,19 +318,24 @@ class VectorIndex:
             return 0
         to = self.spark.createDataFrame(list(moved.items()), "cluster_id int, new_id int")
         go = sides.where("side = 1").join(F.broadcast(to), "cluster_id").select("cluster_id", "vec_id", "new_id")
-        # only the split cells are rewritten, without their dead rows
-        touched = F.col("cluster_id").isin(list(moved))
-        rows = search.live(self.postings.where(touched), self.tombstones).join(go, ["cluster_id", "vec_id"], "left").withColumn("cluster_id", F.coalesce("new_id", "cluster_id"))
-        rows = durable(rows.select("cluster_id", "vec_id", "assign_rank", "embedding", "norm_sq"))
-        self.postings = self.postings.where(~touched).unionByName(rows)
-        if self.codes is not None:
-            self.codes = self.codes.where(~touched).unionByName(durable(scalar_quant.encode(rows, self.quantiser)))
-        self._pieces += 1
-        # a split may leave ids that have no rows any more
-        gone = durable(self.tombstones.join(self.postings.select("vec_id"), "vec_id", "left_anti"))
-        if not gone.isEmpty():
-            self.purged = durable(self.purged.union(gone))
-            self.tombstones = durable(self.tombstones.join(gone, "vec_id", "left_anti"))
+        # the split cells are written as a piece of their own, without their dead rows; the rest stays where it is
+        touched, postings = F.col("cluster_id").isin(list(moved)), self.pieces["postings"]
+        rows = search.live(postings.rows.where(touched), self.tombstones, self.n_dead).join(go, ["cluster_id", "vec_id"], "left").withColumn("cluster_id", F.coalesce("new_id", "cluster_id"))
+        rows = self._put("postings", rows, list(moved))
+        if self.quantiser is not None:
+            self._put("codes", scalar_quant.encode(rows, self.quantiser), list(moved))
+        for c in moved:
+            self.physical.pop(c, None)
+            self.dead.pop(c, None)
+        for c, n in rows.groupBy("cluster_id").count().collect():
+            self.physical[c] = n
+        if self.n_dead:
+            # a split may leave ids that have no rows any more
+            gone = durable(self.tombstones.join(self.pieces["postings"].rows.select("vec_id"), "vec_id", "left_anti"))
+            if n := gone.count():
+                self._put("purged", gone)
+                self.n_purged += n
+                self._forget_tombstones(self.tombstones.join(gone, "vec_id", "left_anti"))
         self.generation += 1
         return len(moved)
 
@@ -225,7 +355,7 @@ class VectorIndex:
             return self.spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, dist double")
         if self.quantiser is None:
             return search.ivf(queries, self.live(), self.cells, k, nprobe)
-        codes = search.live(self.codes, self.tombstones)
+        codes = search.live(self.codes, self.tombstones, self.n_dead)
         lut = self.config.lut_bits if self.config.tq_bits <= 4 else 0
         found = scalar_quant.search(queries, codes, self.cells, self.quantiser, max(self.config.rerank_k, k) if rerank else k, nprobe, lut_bits=lut)
         if not rerank:
@@ -244,16 +374,16 @@ class VectorIndex:
 
     def cluster_stats(self) -> DataFrame:
         """cluster_id, live_size, physical_size, centroid, last_split_round (-1: training)."""
-        sizes = split.cell_sizes(self.postings, self.tombstones)
+        sizes = self.spark.createDataFrame([(int(c), n, n - self.dead.get(c, 0)) for c, n in self.physical.items()], "cluster_id int, physical_size bigint, live_size bigint")
         zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
         return self.centroids().join(sizes, "cluster_id", "left").select("cluster_id", zero("live_size"), zero("physical_size"), "centroid", F.col("created_round").alias("last_split_round"))
 
     def stats(self) -> dict:
-        s = self.cluster_stats().agg(F.sum("physical_size"), F.sum("live_size"), F.max("live_size")).first() if self.cells is not None else (0, 0, 0)
+        live = self.live_sizes().values()
         n = len(self.cells.ids) if self.cells is not None else self.config.n_clusters
         out = {
-            "n_vectors": self.n_issued, "n_physical_slots": s[0] or 0, "n_clusters": n, "dim": self.config.dim, "quant": self.config.quant, "soft_k": self.config.soft_k,
-            "deleted_count": self.tombstones.count(), "max_cluster_size": s[2] or 0, "mean_cluster_size": (s[1] or 0) / n, "purged_count": self.purged.count(),
+            "n_vectors": self.n_issued, "n_physical_slots": sum(self.physical.values()), "n_clusters": n, "dim": self.config.dim, "quant": self.config.quant, "soft_k": self.config.soft_k,
+            "deleted_count": self.n_dead, "max_cluster_size": max(live, default=0), "mean_cluster_size": sum(live) / n, "purged_count": self.n_purged,
         }
         out["n_live"] = self.n_issued - out["deleted_count"] - out["purged_count"]
         if self.config.quant == "tq":

@@ -11,7 +11,6 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +19,7 @@ from vectaria.functions.state import checkpoint_dir, durable
 from vectaria.functions.vectors import inner_product, l2_distance, l2_normalize, l2_precomp, norm_sq, scan_vectors
 from vectaria.operators import block_quant, kmeans, metrics, scalar_quant, search, split
 from vectaria.operators.assign import nearest_cells, postings_of
-from vectaria.operators.rank import dedup, rounded, top_k
+from vectaria.operators.rank import dedup, first_ids, rounded, top_k
 from vectaria.operators.scalar_quant import ScalarQuantiser
 from vectaria.plans.config import IndexConfig
 from vectaria.plans.flat_vq import FlatVQIndex
@@ -28,7 +27,7 @@ from vectaria.plans.index import VectorIndex, rerank_exact, union_all
 from vectaria.sources import store
 from vectaria.streaming.ingest import insert_stream
 
-DIM, CELLS, ROUNDS, SOFT, PROBES, K = 64, 8, 3, 2, 3, 10
+DIM, CELLS, ROUNDS, SOFT, PROBES, K = 64, 8, 3, 2, 5, 10
 BASE_IDS = 400
 RERANK = 50
 #: Digits of estimated distances.
@@ -92,7 +91,7 @@ def q_norm_sq(s, d):
 
 def _pairs(s, d):
     e = vectors(s, d)
-    return e.crossJoin(F.broadcast(queries_of(e))), F.col("qv"), F.col("embedding")
+    return search.all_pairs(queries_of(e), e), F.col("qv"), F.col("embedding")
 
 
 def q_inner_product(s, d):
@@ -108,7 +107,7 @@ def q_l2_distance(s, d):
 def q_l2_precomp(s, d):
     e = vectors(s, d).withColumn("v_sq", norm_sq(F.col("embedding")))
     q = queries_of(e).withColumn("q_sq", norm_sq(F.col("qv")))
-    return e.crossJoin(F.broadcast(q)).select("query_id", "vec_id", rounded(l2_precomp(F.col("q_sq"), F.col("v_sq"), inner_product(F.col("qv"), F.col("embedding")))).alias("dist"))
+    return search.all_pairs(q, e).select("query_id", "vec_id", rounded(l2_precomp(F.col("q_sq"), F.col("v_sq"), inner_product(F.col("qv"), F.col("embedding")))).alias("dist"))
 
 
 def q_l2_normalize(s, d):
@@ -149,7 +148,8 @@ def q_kmeans_train(s, d):
     return _exploded(trained(vectors(s, d)).frame(s).select(F.col("cluster_id").cast("long").alias("cluster_id"), "centroid"), ["cluster_id"], "centroid")
 
 
-q_centroids_scan = q_kmeans_train
+def q_centroids_scan(s, d):
+    return _exploded(index(s, vectors(s, d)).centroids().select(F.col("cluster_id").cast("long").alias("cluster_id"), "centroid"), ["cluster_id"], "centroid")
 
 
 def q_assign_soft_k(s, d):
@@ -311,6 +311,15 @@ def q_split_cluster(s, d):
     return sides.select(F.col("cluster_id").cast("long").alias("cluster_id"), "vec_id", F.col("side").cast("long").alias("side"))
 
 
+def q_split_in_index(s, d):
+    e = vectors(s, d)
+    i = index(s, e, soft_k=1, max_split_iters=ROUNDS)
+    i.delete(dead(e))
+    i.config.split_threshold = SPLIT_AT
+    i.rebalance()
+    return i.live().select("vec_id", F.col("cluster_id").cast("long").alias("cluster_id"))
+
+
 def q_rebuild_baseline(s, d):
     e = vectors(s, d)
     return result(index(s, search.live(e, dead(e))).search(queries_of(e), K))
@@ -325,8 +334,7 @@ def q_postfilter_baseline(s, d):
 def q_churn_round(s, d):
     e, i = _base(s, d)
     i.add(e.where(F.col("vec_id") >= BASE_IDS))
-    n = i.vectors().count()
-    i.delete(i.vectors().select("vec_id").orderBy("vec_id").limit(n * 3 // 10))
+    i.delete(first_ids(i.vectors().select("vec_id"), i.stats()["n_live"] * 3 // 10))
     return result(i.search(queries_of(e), K))
 
 
@@ -377,14 +385,10 @@ def q_tq_encode(s, d):
     return _coded(s, d)[1].select("vec_id", F.lower(F.hex("codes")).alias("codes"), rounded("scale").alias("scale"), rounded("sqnorm").alias("sqnorm"))
 
 
-def _one_cell():
-    return kmeans.Centroids(np.array([0]), np.zeros((1, DIM)))
-
-
 def _all_estimates(s, d, lut_bits):
     e, codes = _coded(s, d)
     q = queries_of(e)
-    found = scalar_quant.search(q, codes, _one_cell(), fixed_quantiser(), e.count(), 1, lut_bits=lut_bits)
+    found = scalar_quant.scores(q, codes, fixed_quantiser(), lut_bits=lut_bits)
     return found.select("query_id", "vec_id", rounded("dist", ESTIMATE_DIGITS).alias("dist"))
 
 
@@ -455,7 +459,7 @@ def q_block_vq_decode(s, d):
 
 def q_block_vq_score(s, d):
     e, codes = _blocks(s, d)
-    return block_quant.search(queries_of(e), codes, fixed_blocks(), e.count()).select("query_id", "vec_id", rounded("dist", ESTIMATE_DIGITS).alias("dist"))
+    return block_quant.scores(queries_of(e), codes, fixed_blocks()).select("query_id", "vec_id", rounded("dist", ESTIMATE_DIGITS).alias("dist"))
 
 
 def _flat(s, d):
@@ -491,8 +495,7 @@ def q_save_load_roundtrip(s, d):
 
 
 def q_storage_level_parity(s, d):
-    e, i = _deleted(s, d)
-    i.postings = i.postings.persist(StorageLevel.DISK_ONLY)
+    e, i = _deleted(s, d, storage="DISK_ONLY")
     return result(i.search(queries_of(e), K))
 
 

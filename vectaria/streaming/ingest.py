@@ -1,4 +1,9 @@
-"""Streaming inserts: micro-batches into an index, each applied once."""
+"""Streaming inserts: micro-batches into an index, each applied once.
+
+With ``path`` every batch ends with a save there, whose manifest holds the batch's number beside
+the index: after a restart, ``store.load(spark, path)`` and the same stream checkpoint go on where
+the last complete save stands, and a batch that is replayed is ignored.
+"""
 
 from __future__ import annotations
 
@@ -9,19 +14,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from vectaria.plans.index import VectorIndex
+from vectaria.sources import store
 
 
-def apply_batch(index: VectorIndex, batch: DataFrame, batch_id: int, id_col: str | None, vec_col: str) -> None:
+def apply_batch(index: VectorIndex, batch: DataFrame, batch_id: int, id_col: str | None, vec_col: str, path: str | None = None) -> None:
     """Adds a micro-batch unless it was added before; a replay leaves the index as it is."""
     if batch_id <= index.last_batch:
         return
     index.add(batch, id_col, vec_col)
     index.last_batch = batch_id
+    if path is not None:
+        store.save(index, path)
 
 
-def insert_stream(index: VectorIndex, stream: DataFrame, checkpoint: str, *, id_col: str | None = "vec_id", vec_col: str = "embedding", available_now: bool = True) -> StreamingQuery:
+def insert_stream(
+    index: VectorIndex, stream: DataFrame, checkpoint: str, *, id_col: str | None = "vec_id", vec_col: str = "embedding", available_now: bool = True, path: str | None = None
+) -> StreamingQuery:
     """Starts a query that adds each micro-batch; batch sizes are the source's (maxFilesPerTrigger and the like)."""
-    writer = stream.writeStream.foreachBatch(lambda df, k: apply_batch(index, df, k, id_col, vec_col)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(lambda df, k: apply_batch(index, df, k, id_col, vec_col, path)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
