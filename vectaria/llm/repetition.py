@@ -167,7 +167,7 @@ def keep_clean(df: DataFrame, text_col: str = "text", **parameters: int) -> Data
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     r = repetition(docs, keep=["doc_id"])
-    return r.select("doc_id", *[f"repetition.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "base_failed", "kept")])
+    return r.select("doc_id", *[f"repetition.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words")])
 
 
 OP2_SQL = f"""
@@ -193,9 +193,10 @@ z AS (
   SELECT b.doc_id, n_words, word_chars, n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
     coalesce(c3.n, 0)::BIGINT AS n_repeat_words, coalesce(cq.n, 0)::BIGINT AS covered_words, lr.doc_id IS NOT NULL AS is_long
   FROM b LEFT JOIN c3 USING (doc_id) LEFT JOIN cq ON cq.doc_id = b.doc_id LEFT JOIN lr ON lr.doc_id = b.doc_id)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_TRIPLES} * n_words AS base_failed,
   NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_TRIPLES} * n_words)
-    AND 100 * covered_words <= {MAX_COVERED} * n_words AND NOT is_long AS kept
+    AND 100 * covered_words <= {MAX_COVERED} * n_words AND NOT is_long AS kept,
+  covered_words
 FROM z
 """
