@@ -100,6 +100,7 @@ _CONTEXT = {
     "thing": re.compile(r"order|invoice|isbn|version|serial|part|item|ticket|page|date|ref|model|build|sku", re.I),
 }
 CONTEXT_CHARS = 32
+_LAST_WORD = re.compile(r"[A-Za-z]*$", re.A)
 
 
 def candidates(text: str) -> list[Span]:
@@ -132,6 +133,7 @@ def describe(text: str, span: Span) -> list[float]:
         *[float(kind == k) for k in MORE], float(z - a), float(len(d)), *map(float, shape), float(len(groups)),
         float(len(set(d))), float(s.count("-")), float(s.count(" ")), float(s.count(".")), float("(" in s), float(bool(d) and luhn(d)),
         float(bool(d) and d[:2] in ("19", "20")), float(kind == "account" and _mod97(s)),
+        float(len(_LAST_WORD.search(s)[0])), float(_LAST_WORD.search(s)[0].islower()), float(". " in s), float("dot" in s.lower()),
         *[float(bool(p.search(before))) for p in _CONTEXT.values()], float(before[-1:].isalnum()), float(after[:1] in tuple("%$€")), float(before.rstrip()[-1:] in (":", "=", "#")),
     ]
 
@@ -168,7 +170,11 @@ def _training(rng: random.Random, n: int) -> list[tuple[str, Span, int]]:
         elif kind == "account":
             text, lead = (iban(True), some("IBAN ", "account: ", "transfer to ", plain)) if good else (some(iban(False), "AB" + num(14), f"XK{num(2)}AZ{num(12)}"), thing)
         else:
-            text, lead = (f"{word()}{some('.', '_', '')}{word()} {some('(at)', '[at]')} {word()} {some('(dot)', '[dot]', '.')} {some('com', 'org', 'net', 'de')}", some("mail ", "write to ", "contact: ", plain)) if good else (f"{word()} (at) {word()}.{some('10', word() + word())}", plain)
+            at, dot = some(" (at) ", "(at)", " [at] ", "[at]", " {at} "), some(" (dot) ", "(dot)", " [dot] ", "[dot]", ".")
+            name = some(word(), f"{word()}.{word()}", f"{word()}_{word()}", f"{word()[0]}.{word()}", f"{word()}{num(2)}")
+            site = some(word(), word(), f"{word()}-{word()}", f"{word()}{dot}{word()}")
+            good_text = f"{name}{at}{site}{dot}{some('com', 'org', 'net', 'de', 'edu', 'io', 'co', 'info')}"
+            text, lead = (good_text, some("mail ", "write to ", "contact: ", "ask ", "to ", plain, plain)) if good else (f"{word()}{at}{word()}.{some(num(2), ' ' + word().capitalize(), word().capitalize() + word(), word() + word() + word())}", plain)
         whole = f"{plain}{lead}{text} {word()}"
         found = [s for s in candidates(whole) if s[0] == kind]
         if found:
@@ -227,7 +233,7 @@ def find(texts: pa.Array, detector: Detector) -> tuple[list[list[Span]], list[li
     return base, [ordered(base[k] + more.get(k, []), KINDS) for k in range(b.n)]
 
 
-DIGESTS = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
+DIGESTS = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint"
 
 
 def _run(df: DataFrame, text_col: str, name: str, ddl: str, make: Callable, keep: list[str] | None) -> DataFrame:
@@ -241,7 +247,7 @@ def _run(df: DataFrame, text_col: str, name: str, ddl: str, make: Callable, keep
 
 def _digests(_: pa.Array, base: list[list[Span]], spans: list[list[Span]]) -> list:
     counts = [pa.array([sum(s[0] == k for s in r) for r in base], pa.int64()) for k in BASE]
-    return [*counts, pa.array([digest(r) for r in base], pa.string()), pa.array([joined(r) for r in spans], pa.string())]
+    return [*counts, pa.array([digest(r) for r in base], pa.string()), pa.array([joined(r) for r in spans], pa.string()), pa.array([len(r) for r in spans], pa.int64())]
 
 
 def redact_text(text: str, spans: list[Span]) -> str:
@@ -276,4 +282,4 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     r = personal_data(docs, digests=True, keep=["doc_id"])
-    return r.select("doc_id", *[f"pii.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")])
+    return r.select("doc_id", *[f"pii.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans")])
