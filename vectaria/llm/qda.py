@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectaria.functions.state import durable
-from vectaria.llm.textbatch import TextBatch, annotate, in_slices, repeats_earlier
+from vectaria.llm.textbatch import TextBatch, annotate, col, in_slices, repeats_earlier
 
 #: Weights of the pooled covariance and of its diagonal in a class covariance.
 SHRINK = 0.5
@@ -162,7 +162,7 @@ def classify(df: DataFrame, model: Discriminant, x: str = "statistics", name: st
     from pyspark.sql import types as T
 
     keep = [c for c in df.columns if c != name]
-    source = df.select(*keep)
+    source = df.select(*map(col, keep))
     at = keep.index(x)
 
     def run(batches):
