@@ -405,3 +405,32 @@ def test_first_ids_and_pareto(spark):
             want.append((x, y))
             most = y
     assert sorted(map(tuple, pareto(spark.createDataFrame(points), "x", "y").collect())) == want
+
+
+def test_restored_from_tables(spark, data):
+    i = build(spark, data[:300], soft_k=2, quant="tq")
+    i.delete([0, 5])
+    j = VectorIndex.of_tables(spark, i.config, i.centroids(), i.postings, i.tombstones)
+    assert j.stats() == i.stats() and ids(j.search(asked(spark, data[:5]), 5)) == ids(i.search(asked(spark, data[:5]), 5))
+    j.add(frame(spark, data[300:310], 300))
+    assert j.stats()["n_vectors"] == 310 and j.delete([0, 300]) == 1
+
+
+def test_benchmark_files(spark, data, tmp_path, monkeypatch):
+    from vectaria.operators import metrics
+    from vectaria.sources import annbench
+
+    want = truth(data, data[:20], 10)
+    for name, x in (("train", data), ("test", data[:20]), ("neighbors", want[:, ::-1])):
+        np.save(tmp_path / f"{name}.npy", x)
+    monkeypatch.setattr(annbench, "ROWS", 250)
+    train, test, given = (annbench.load(spark, str(tmp_path), name) for name in ("train", "test", "neighbors"))
+    assert np.array_equal(np.array([r.embedding for r in train.orderBy("vec_id").collect()], np.float32), data)
+    assert annbench.load(spark, str(tmp_path), limit=7).count() == 7
+    assert ids(metrics.resorted(given, test, train, 10)) == {k: w.tolist() for k, w in enumerate(want)}
+    unit = annbench.load(spark, str(tmp_path), "test", normalise=True).collect()
+    assert all(abs(np.linalg.norm(r.qv) - 1) < 1e-5 for r in unit)
+    with pytest.raises(ValueError):
+        annbench.load(spark, str(tmp_path), "distances")
+    with pytest.raises((ImportError, OSError)):
+        annbench.load(spark, str(tmp_path / "none.hdf5"))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vectaria.functions.state import durable
+from vectaria.functions.vectors import l2_distance
+from vectaria.operators.rank import top_k
+from vectaria.operators.search import BROADCAST_IDS
 
 
 def recall_at_k(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
@@ -16,6 +19,18 @@ def recall_at_k(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return hits.agg(F.count(F.lit(1)).alias("hits")).crossJoin(n).select("n_queries", "hits", F.round(F.col("hits") / (F.col("n_queries") * k), 6).alias("recall"))
 
 
+def resorted(truth: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Given neighbours (query_id, vec_id), such as a published file's, in order of their true distances: (query_id, rank, vec_id, dist).
+
+    The truth's ids go to the tasks that read vectors if they are few, so these aren't shuffled.
+    """
+    pairs = truth.select("query_id", "vec_id").distinct()
+    n = pairs.count()
+    at = vectors.join(F.broadcast(pairs) if n <= BROADCAST_IDS else pairs, "vec_id")
+    found = at.join(queries, "query_id").select("query_id", "vec_id", l2_distance(F.col("qv"), F.col("embedding")).alias("dist"))
+    return top_k(found, k).select("query_id", "rank", "vec_id", "dist")
+
+
 def distance_ratio(found: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: mean over queries of mean found distance over mean true distance."""
     mean = lambda df, c: df.groupBy("query_id").agg(F.avg(F.sqrt("dist")).alias(c))

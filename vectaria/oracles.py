@@ -209,6 +209,8 @@ ORACLE_SQL = {
     "ivf_search": SEARCH + " WHERE query_id = 51",
     "ivf_search_batch": SEARCH,
     "save_load_roundtrip": SEARCH,
+    "restore_from_tables": SEARCH,
+    "truth_resort": _with([E, Q, *_exact(name="f")], OUT),
     "storage_level_parity": SEARCH,
     "dedup_soft_k": _with([E, Q, *_train("e"), _postings(), PROBE, *_found()], f"SELECT query_id, vec_id, {_r('dist')} AS dist FROM f1"),
     "recall_at_k": _with([E, Q, *_train("e"), _postings(), PROBE, *_found(NOT_DEAD), *_exact(NOT_DEAD)], RECALL.format(k=K)),

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vectaria.functions.state import Scratch, durable, remove
-from vectaria.functions.vectors import check_dimension, l2_distance, scan_vectors
+from vectaria.functions.vectors import check_dimension, l2_distance, norm_sq, scan_vectors
 from vectaria.operators import kmeans, scalar_quant, search, split
 from vectaria.operators.assign import POSTINGS, postings_of
 from vectaria.operators.kmeans import Centroids
@@ -89,6 +89,30 @@ class VectorIndex:
         self.superseded: list[str] = []
         self._stored: tuple[int, str, DataFrame] | None = None
 
+    @classmethod
+    def of_tables(cls, spark: SparkSession, config: IndexConfig, centroids: DataFrame, postings: DataFrame, tombstones: DataFrame | None = None) -> VectorIndex:
+        """An index from its parts: (cluster_id, centroid, created_round), (cluster_id, vec_id, assign_rank, embedding) and deleted ids.
+
+        Norms and numbers of rows are made anew; deleted ids without rows count as purged.
+        """
+        index = cls(spark, config)
+        index.cells = Centroids.of(centroids.select(F.col("cluster_id").cast("int"), "centroid", "created_round"))
+        check_dimension(postings, "embedding", config.dim)
+        rows = postings.select(*[F.col(c).cast(kind).alias(c) for c, kind in (("cluster_id", "int"), ("vec_id", "long"), ("assign_rank", "int"), ("embedding", "array<float>"))])
+        index._put("postings", rows.withColumn("norm_sq", norm_sq(F.col("embedding"))))
+        if config.quant == "tq":
+            index.quantiser = scalar_quant.fit(index.postings.where("assign_rank = 1").select("vec_id", "embedding"), config.dim, config.tq_bits, calibration=config.calibrate)
+            index._put("codes", scalar_quant.encode(index.postings, index.quantiser))
+        ids = index.postings.select("vec_id").distinct()
+        if tombstones is not None:
+            dead = durable(tombstones.select(F.col("vec_id").cast("long").alias("vec_id")).distinct())
+            index._put("tombstones", dead.join(ids, "vec_id", "left_semi"))
+            index._put("purged", dead.join(ids, "vec_id", "left_anti"))
+        index.recount()
+        n, last = ids.union(index.purged).agg(F.count(F.lit(1)), F.max("vec_id")).first()
+        index.n_issued, index.next_id, index.generation = n, (-1 if last is None else last) + 1, 1
+        return index
+
     @property
     def postings(self) -> DataFrame:
         """(cluster_id, vec_id, assign_rank, embedding, norm_sq), rows of deleted vectors included."""

@@ -213,6 +213,12 @@ def q_recall_at_k(s, d):
     return metrics.recall_at_k(i.search(queries_of(e), K), i.brute_force(queries_of(e), K), K)
 
 
+def q_truth_resort(s, d):
+    e = vectors(s, d)
+    given = search.brute_force(queries_of(e), e, K, DIM).select("query_id", "vec_id", (K + 1 - F.col("rank")).alias("rank"))
+    return result(metrics.resorted(given, queries_of(e), e, K))
+
+
 def q_distance_ratio(s, d):
     e, i = _deleted(s, d)
     return metrics.distance_ratio(i.search(queries_of(e), K).where("dist > 1e-9"), i.brute_force(queries_of(e), K).where("dist > 1e-9"))
@@ -494,6 +500,12 @@ def q_save_load_roundtrip(s, d):
     return result(store.load(s, path).search(queries_of(e), K))
 
 
+def q_restore_from_tables(s, d):
+    e, i = _deleted(s, d)
+    j = VectorIndex.of_tables(s, i.config, i.centroids(), i.postings, i.tombstones)
+    return result(j.search(queries_of(e), K))
+
+
 def q_storage_level_parity(s, d):
     e, i = _deleted(s, d, storage="DISK_ONLY")
     return result(i.search(queries_of(e), K))
