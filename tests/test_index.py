@@ -196,6 +196,21 @@ def test_views(spark, data):
     assert spark.sql("SELECT count(*) FROM found WHERE rank = 1 AND query_id = vec_id").first()[0] == 2
 
 
+def test_table_function(spark, data):
+    from vectaria.functions.udtf import register_cell_top_k
+
+    i = build(spark, data[:100], soft_k=1)
+    register_cell_top_k(spark)
+    i.postings.createOrReplaceTempView("cells")
+    query = ", ".join(f"{x:.9f}D" for x in data[7].tolist())
+    got = spark.sql(f"SELECT * FROM cell_top_k(TABLE(SELECT cluster_id, vec_id, embedding FROM cells) PARTITION BY (cluster_id), array({query}), 3)").collect()
+    per = {}
+    for r in got:
+        per.setdefault(r.cluster_id, []).append(r.dist)
+    assert all(len(d) <= 3 and d == sorted(d) for d in per.values()) and len(per) == len(i.physical)
+    assert min(got, key=lambda r: r.dist).vec_id == 7
+
+
 def test_settings_can_change(spark, data):
     i = build(spark, data[:300], soft_k=2)
     i.config.soft_k = 1
