@@ -5,6 +5,9 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from vectaria.functions.kernels import order_statistics
+from vectaria.operators import scalar_quant
+from vectaria.operators.scalar_quant import TRAIN_ROWS
 from vectaria.oracles import ORACLE_SQL
 from vectaria.queries import BASE_IDS, DIM, QUERIES
 
@@ -39,3 +42,32 @@ def test_auto_compact_with_few_deletes(spark, tmp_path, n, rows):
     mine, want = both(spark, "auto_compact", embeddings(tmp_path, range(n)))
     assert mine == want
     assert n == BASE_IDS or len(mine) == rows
+
+
+@pytest.fixture(scope="module")
+def above_the_bound(tmp_path_factory):
+    """More rows than a quantiser's sample has at most; ids with gaps, not in order."""
+    ids = np.arange(TRAIN_ROWS + 1500) * 3 + 1
+    return embeddings(tmp_path_factory.mktemp("many"), np.random.default_rng(5).permutation(ids))
+
+
+@pytest.mark.parametrize("name", ["tq_calibration", "tq_codebook"])
+def test_scalar_fits_read_all_rows(spark, above_the_bound, name):
+    mine, want = both(spark, name, above_the_bound)
+    assert mine == want
+
+
+def test_order_statistics_equal_sorting(spark):
+    x = np.random.default_rng(1).integers(0, 1 << 31, (5000, 3))
+    x[:2000, 1] = 7
+    rows = spark.createDataFrame([(r.tolist(),) for r in x], "x array<bigint>").repartition(5)
+    ranks = np.array([[0, 1999, 2500], [4999, 2000, 2500]])
+    found = order_statistics(rows, lambda batch: np.asarray(batch.column(0).flatten()).reshape(-1, 3), ranks)
+    assert (found == np.take_along_axis(np.sort(x, axis=0), ranks, 0)).all()
+
+
+@pytest.mark.parametrize("n", [0, 1, 1500])
+def test_fits_on_all_rows_equal_fits_on_arrays(spark, tmp_path, n):
+    e = spark.read.parquet(embeddings(tmp_path, range(n)) + "/embeddings.parquet").repartition(6)
+    a, b = (scalar_quant.fit(e, DIM, 3, calibration=True, rounds=4, max_rows=m) for m in (TRAIN_ROWS, None))
+    assert (a.centroids == b.centroids).all() and (a.shift == b.shift).all() and (a.scale == b.scale).all()
