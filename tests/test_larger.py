@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from vectaria.functions.kernels import order_statistics
-from vectaria.operators import scalar_quant
+from vectaria.operators import block_quant, scalar_quant
 from vectaria.operators.scalar_quant import TRAIN_ROWS
 from vectaria.oracles import ORACLE_SQL
 from vectaria.queries import BASE_IDS, DIM, QUERIES
@@ -71,3 +71,15 @@ def test_fits_on_all_rows_equal_fits_on_arrays(spark, tmp_path, n):
     e = spark.read.parquet(embeddings(tmp_path, range(n)) + "/embeddings.parquet").repartition(6)
     a, b = (scalar_quant.fit(e, DIM, 3, calibration=True, rounds=4, max_rows=m) for m in (TRAIN_ROWS, None))
     assert (a.centroids == b.centroids).all() and (a.shift == b.shift).all() and (a.scale == b.scale).all()
+
+
+def test_block_fit_reads_all_rows(spark, above_the_bound):
+    mine, want = both(spark, "block_vq_train", above_the_bound)
+    assert mine == want
+
+
+@pytest.mark.parametrize("n", [3, 1500])
+def test_block_fit_on_all_rows_equals_fit_on_arrays(spark, tmp_path, n):
+    e = spark.read.parquet(embeddings(tmp_path, range(n)) + "/embeddings.parquet").repartition(6)
+    a, b = (block_quant.fit(e, DIM, 8, 16, rounds=4, seed=None, max_rows=m) for m in (TRAIN_ROWS, None))
+    assert (a.book == b.book).all()

@@ -8,10 +8,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from vectaria.functions.kernels import TopK, all_l2, matrix, on_workers
+from vectaria.functions.kernels import TopK, all_l2, matrix, on_workers, totals
 from vectaria.operators.rank import nearest_of
-from vectaria.operators.scalar_quant import ROTATION_SEED, TINY, bounded_sample, in_order_dot, rotation, unit
+from vectaria.operators.scalar_quant import ROTATION_SEED, TINY, TRAIN_ROWS, bounded_sample, in_order_dot, rotation, unit
 from vectaria.operators.search import Queries, in_passes
 
 #: Fixed value: rounds of training at most.
@@ -92,13 +93,15 @@ def block_kmeans(x: np.ndarray, words: int, rounds: int = ROUNDS, seed: int | No
     return c
 
 
-def fit(vectors: DataFrame, dim: int, block: int, words: int, *, rounds: int = ROUNDS, seed: int | None = ROTATION_SEED) -> BlockQuantiser:
-    """Fits on a bounded sample; blocks are independent and are trained as a job, one group each."""
+def fit(vectors: DataFrame, dim: int, block: int, words: int, *, rounds: int = ROUNDS, seed: int | None = ROTATION_SEED, max_rows: int | None = TRAIN_ROWS) -> BlockQuantiser:
+    """Fits on a bounded sample (blocks are independent and are trained as a job, one group each) or, with ``max_rows`` None, on all rows by a job a round."""
     if dim % block:
         raise ValueError("the block size must divide the dimension")
+    if max_rows is None:
+        return fit_all(vectors, dim, block, words, rounds, seed)
     spark = vectors.sparkSession
     on_workers(spark)
-    x = bounded_sample(vectors, dim)
+    x = bounded_sample(vectors, dim, max_rows)
     turn = rotation(dim)
     shared = spark.sparkContext.broadcast(np.round(in_order_dot(turn, unit(x)[0]), 9))
     n_blocks = dim // block
@@ -113,6 +116,36 @@ def fit(vectors: DataFrame, dim: int, block: int, words: int, *, rounds: int = R
     return BlockQuantiser(turn, np.array([r["word"] for r in made]).reshape(n_blocks, -1, block))
 
 
+def fit_all(vectors: DataFrame, dim: int, block: int, words: int, rounds: int = ROUNDS, seed: int | None = ROTATION_SEED) -> BlockQuantiser:
+    """Fits on all rows: tasks assign them and emit fixed-point sums for each word, so that the sums' order can't matter.
+
+    Seeds are the rows of the least hashes of (seed, id) or, with ``seed`` None, of the least ids; an empty word stays.
+    """
+    order = [F.xxhash64(F.lit(seed), F.col("vec_id"))] if seed is not None else []
+    start = vectors.orderBy(*order, "vec_id").limit(words).collect()
+    turn, n_blocks, m = rotation(dim), dim // block, len(start)
+    rotated = lambda v: np.round(in_order_dot(turn, unit(v)[0]), 9)
+    x = rotated(np.array([r["embedding"] for r in start], np.float32).reshape(-1, dim))
+    book = np.ascontiguousarray(x.reshape(m, n_blocks, block).swapaxes(0, 1))
+    for _ in range(rounds if m else 0):
+
+        def add(out: np.ndarray, batch: pa.RecordBatch, book=book) -> None:
+            r, sums = rotated(matrix(batch.column(0), dim)), out.reshape(n_blocks, m, block + 1)
+            for g, words in enumerate(book):
+                part = r[:, g * block : (g + 1) * block]
+                own = np.round(all_l2(part, words), 9).argmin(1)
+                sums[g, :, 0] += np.bincount(own, minlength=m)
+                np.add.at(sums[g, :, 1:], own, np.rint(part * 1e9).astype(np.int64))
+
+        sums = totals(vectors.select("embedding"), n_blocks * m * (block + 1), add).reshape(n_blocks, m, block + 1)
+        count = sums[:, :, :1]
+        new = np.where(count > 0, sums[:, :, 1:] / np.maximum(count, 1) / 1e9, book)
+        if (new == book).all():
+            break
+        book = new
+    return BlockQuantiser(turn, book)
+
+
 CODES = "vec_id bigint, codes array<int>, scale double, sqnorm double"
 
 
