@@ -77,6 +77,7 @@ def block_kmeans(x: np.ndarray, words: int, rounds: int = ROUNDS, seed: int | No
     """
     rng = np.random.default_rng(seed) if seed is not None else None
     c = x[rng.integers(0, len(x), words)].copy() if rng is not None else x[:words].copy()
+    words = len(c)
     last = None
     for _ in range(rounds):
         own = np.round(all_l2(x, c), 9).argmin(1)
