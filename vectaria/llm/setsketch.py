@@ -55,9 +55,9 @@ RATE = 20.0
 RULED_OUT = 12.0
 BLOCK = 512
 #: Pairs of sketches compared in one step.
-COMPARED = 65_536
+COMPARED = 8_192
 #: Bytes of cells compared in one step.
-CELLS_COMPARED = 4 << 20
+CELLS_COMPARED = 1 << 20
 #: Ids that are sent to all tasks at most (about 56 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Rows with full sets in one Arrow batch.
